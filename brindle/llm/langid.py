@@ -120,7 +120,7 @@ def infer(model: Model, data: np.ndarray, ends: np.ndarray, *, rounds: int = 12,
     at = 0
     while at < texts:
         # A chunk has a bounded number of texts and, but for a single long text, of bytes.
-        to = max(at + 1, min(at + CHUNK, int(np.searchsorted(ends, ends[at] + (1 << 20)))))
+        to = max(at + 1, min(at + CHUNK, texts, int(np.searchsorted(ends, ends[at] + (1 << 20)))))
         bins, of = grams(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
         counts = np.bincount(of * BINS + bins, minlength=(to - at) * BINS)
         cell = np.flatnonzero(counts)

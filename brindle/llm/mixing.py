@@ -60,6 +60,17 @@ def _draw(all_: Column, own: Column, n: Column, u: Column) -> Column:
     return F.least(high, low + F.aggregate(F.sequence(low, high), start, step, lambda s: s["n"]))
 
 
+def _split(seed: int, level: int):
+    """A fold over a node's sources: how many block copies of each go left, given what is left of all and of the half."""
+
+    def step(s: Column, x: Column) -> Column:
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), x["place"]), F.lit(2**53)).cast("double") / float(2**53)
+        k = _draw(s["all"], x["k"], s["n"], u).cast("int")
+        return F.struct((s["all"] - x["k"]).alias("all"), (s["n"] - k).alias("n"), F.array_append(s["left"], k).alias("left"))
+
+    return step
+
+
 def _quotas(units: DataFrame, depth: int, seed: int) -> DataFrame:
     """units (place, k: block copies of a source) with ends: the sum of the source's quotas up to each of 2^depth shards.
 
@@ -72,13 +83,8 @@ def _quotas(units: DataFrame, depth: int, seed: int) -> DataFrame:
         total = F.aggregate("own", F.lit(0), lambda a, x: a + x["k"])
         node = node.withColumn("total", total)
 
-        def step(s: Column, x: Column, level: int = level) -> Column:
-            u = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), x["place"]), F.lit(2**53)).cast("double") / float(2**53)
-            k = _draw(s["all"], x["k"], s["n"], u).cast("int")
-            return F.struct((s["all"] - x["k"]).alias("all"), (s["n"] - k).alias("n"), F.array_append(s["left"], k).alias("left"))
-
         start = F.struct(F.col("total").alias("all"), F.expr("cast((total + 1) div 2 as int)").alias("n"), F.array().cast("array<int>").alias("left"))
-        node = node.withColumn("left", F.aggregate("own", start, step, lambda s: s["left"]))
+        node = node.withColumn("left", F.aggregate("own", start, _split(seed, level), lambda s: s["left"]))
         go = F.zip_with("own", "left", lambda x, k: F.struct(x["place"].alias("place"), k.alias("k")))
         stay = F.zip_with("own", "left", lambda x, k: F.struct(x["place"].alias("place"), (x["k"] - k).alias("k")))
         node = node.select("node", F.posexplode(F.array(go, stay)).alias("side", "own")).select((F.col("node") * 2 + F.col("side")).alias("node"), "own")

@@ -107,9 +107,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table += np.bincount((s.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         docs += int((np.diff(s.starts) > 0).sum())
     if docs:
-        yield pa.RecordBatch.from_pylist([{"block": -1, "counts": zlib.compress(np.array([docs], "<i8").tobytes(), 1)}])
+        yield _block(-1, np.array([docs]))
         for k, part in enumerate(table.reshape(-1, 1 << BLOCK_BITS)):
-            yield pa.RecordBatch.from_pylist([{"block": k, "counts": _pack(part)}])
+            yield _block(k, part)
+
+
+def _block(k: int, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(part)], pa.binary())], ["block", "counts"])
 
 
 def _pack(part: np.ndarray) -> bytes:
@@ -129,7 +133,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = _unpack(counts.as_py())
             held[block] = held[block] + got if block in held else got
     for block, counts in held.items():
-        yield pa.RecordBatch.from_pylist([{"block": block, "counts": _pack(counts)}])
+        yield _block(block, counts)
 
 
 def idf_steps(texts: DataFrame) -> np.ndarray:
@@ -146,7 +150,7 @@ def idf_steps(texts: DataFrame) -> np.ndarray:
     table, docs = np.zeros(1 << SKETCH_BITS, np.float64), 1
     for r in got:
         if r["block"] < 0:
-            docs = int(np.frombuffer(zlib.decompress(r["counts"]), "<i8")[0]) if len(zlib.decompress(r["counts"])) == 8 else 1
+            docs = int(_unpack(r["counts"])[0])
         else:
             table[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = _unpack(r["counts"])
     return steps_of(table, docs)

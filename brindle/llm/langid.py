@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import packed, pick, slices
 
 #: Byte n-grams are hashed into 2^BITS bins; a model holds one float for each bin and language.
-BITS = 15
+BITS = 14
 BINS = 1 << BITS
 #: Documents that are told apart at once; their bins are counted in one array.
 CHUNK = 128
@@ -23,7 +23,7 @@ MAX_LANGUAGES = 512
 
 class Model(NamedTuple):
     languages: list[str]
-    log_p: np.ndarray  # float32, bins x languages
+    ratio: np.ndarray  # float32, bins x languages: likelihoods over the largest of the bin
 
 
 def _bytes(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", smooth: float = 0.5, spread: int = 16) -> Model:
     """Counts the n-grams of every row with a text and a language, by language. Tasks add up their own counts; the sums
     meet in two steps, first dealt by `spread` salts, then by language, always one array at a time. What reaches the
-    driver is one array of 2^15 counts a language, for MAX_LANGUAGES at most (more raise ValueError)."""
+    driver is one array of 2^14 counts a language, for MAX_LANGUAGES at most (more raise ValueError)."""
     rows = pick(labelled, lang=lang_col, text=text_col).dropna().select("lang", F.col("text").cast("binary").alias("text"))
     kind = "lang string, counts binary"
     part = rows.mapInArrow(_count, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
@@ -94,62 +94,72 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
         return Model([], np.zeros((BINS, 0), np.float32))
     counts = np.stack([np.frombuffer(zlib.decompress(r["counts"]), "<i8") for r in got], 1).astype(np.float64)
     log_p = np.log(counts + smooth) - np.log(counts.sum(0) + smooth * BINS)
-    return Model([r["lang"] for r in got], log_p.astype(np.float32))
+    return Model([r["lang"] for r in got], np.maximum(np.exp(log_p - log_p.max(1, keepdims=True)), 1e-9).astype(np.float32))
 
 
-def _em(p: np.ndarray, n: np.ndarray, starts: np.ndarray, of: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mixture proportions of each text after some rounds, and the log-likelihood before the last. p: likelihoods of the
-    texts' distinct n-grams by language, n: how often each occurs, starts: each text's first, of: the text of each."""
+def _em(p: np.ndarray, n: np.ndarray, starts: np.ndarray, of: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
+    """Mixture proportions of each text after some rounds. p: likelihoods of the texts' distinct n-grams by language, n:
+    how often each occurs, starts: each text's first, of: the text of each."""
     total = np.add.reduceat(n, starts)[:, None]
     for _ in range(rounds):
         joint = p * pi[of]
-        all_ = np.maximum(joint.sum(1, keepdims=True), 1e-30)
-        ll = np.add.reduceat(n * np.log(all_[:, 0]), starts)
-        joint *= n[:, None] / all_
+        joint *= (n / np.maximum(np.einsum("ij->i", joint), np.float32(1e-20)))[:, None]
         pi = np.add.reduceat(joint, starts, axis=0) / total
-    return pi, ll
+    return pi
 
 
-def infer(model: Model, data: np.ndarray, ends: np.ndarray, *, rounds: int = 12, most: int = 3, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: proportions (texts x languages, 0 outside the chosen set), whether it has n-grams, and the
-    log-likelihood of the set. The largest proportions of a fit over all languages name nested sets of 1 to `most`
-    languages; each set is fitted anew, and the set with the best penalised likelihood, `penalty` * log(n-grams) a
-    language, is chosen."""
+def _likelihood(p: np.ndarray, n: np.ndarray, starts: np.ndarray, of: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    return np.add.reduceat((n * np.log(np.maximum(np.einsum("ij,ij->i", p, pi[of]), np.float32(1e-20)))).astype(np.float64), starts)
+
+
+def infer(model: Model, data: np.ndarray, ends: np.ndarray, *, rounds: int = 6, most: int = 3, least: float = 0.02, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """For each text: proportions (texts x languages, 0 outside the chosen set), and whether it has n-grams. The largest
+    proportions of a fit over all languages name nested sets of 1 to `most` languages; languages below `least` join no
+    set. Each set is fitted anew, and the set with the best penalised likelihood, `penalty` * log(n-grams) a language, is
+    chosen."""
     texts, langs = len(ends) - 1, len(model.languages)
-    share, seen, best_ll = np.zeros((texts, langs), np.float32), np.zeros(texts, bool), np.zeros(texts)
+    share, seen = np.zeros((texts, langs), np.float32), np.zeros(texts, bool)
     at = 0
-    while at < texts:
+    while at < texts and langs:
         # A chunk has a bounded number of texts and, but for a single long text, of bytes.
         to = max(at + 1, min(at + CHUNK, texts, int(np.searchsorted(ends, ends[at] + (1 << 20)))))
         bins, of = grams(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
         counts = np.bincount(of * BINS + bins, minlength=(to - at) * BINS)
         cell = np.flatnonzero(counts)
         if len(cell):
-            text, n = cell // BINS, counts[cell].astype(np.float32)
-            own, starts, of = np.unique(text, return_index=True, return_inverse=True)
-            log_p = model.log_p[cell % BINS]
-            p = np.exp(log_p - log_p.max(1, keepdims=True))
-            pi, _ = _em(p, n, starts, of, np.full((len(own), langs), 1 / langs, np.float32), rounds)
+            text, n = cell >> BITS, counts[cell].astype(np.float32)
+            starts = np.flatnonzero(np.diff(text, prepend=-1))
+            own = text[starts]
+            of = np.repeat(np.arange(len(own)), np.diff(np.append(starts, len(cell))))
+            p = model.ratio[cell & (BINS - 1)]
+            pi = _em(p, n, starts, of, np.full((len(own), langs), 1 / langs, np.float32), rounds)
             order = np.argsort(-pi, axis=1, kind="stable")
-            size = np.log(np.maximum(np.add.reduceat(n, starts), 2))
-            best, choice = np.full(len(own), -np.inf), np.zeros_like(pi)
-            for k in range(1, min(most, langs) + 1):
-                mask = np.zeros_like(pi)
-                np.put_along_axis(mask, order[:, :k], 1, 1)
-                start = np.maximum(pi, 1e-6) * mask
-                fitted, ll = _em(p, n, starts, of, start / start.sum(1, keepdims=True), 1 if k == 1 else rounds // 2)
-                value = ll - penalty * k * size
-                better = value > best
-                best, choice[better] = np.where(better, value, best), fitted[better]
-            share[at + own], seen[at + own], best_ll[at + own] = choice, True, best
+            cost = penalty * np.log(np.maximum(np.add.reduceat(n, starts), 2))
+            choice = np.zeros_like(pi)
+            np.put_along_axis(choice, order[:, :1], 1, 1)
+            best = _likelihood(p, n, starts, of, choice) - cost
+            for k in range(2, min(most, langs) + 1):
+                wide = np.flatnonzero(np.take_along_axis(pi, order[:, k - 1 : k], 1)[:, 0] >= least)
+                if not len(wide):
+                    break
+                some = np.isin(of, wide)
+                of_wide = np.searchsorted(wide, of[some])
+                part = (p[some], n[some], np.searchsorted(of_wide, np.arange(len(wide))), of_wide)
+                start = np.zeros((len(wide), langs), np.float32)
+                np.put_along_axis(start, order[wide, :k], np.take_along_axis(pi[wide], order[wide, :k], 1), 1)
+                fitted = _em(*part, start / start.sum(1, keepdims=True), rounds)
+                value = _likelihood(*part, fitted) - k * cost[wide]
+                better = value > best[wide]
+                best[wide[better]], choice[wide[better]] = value[better], fitted[better]
+            share[at + own], seen[at + own] = choice, True
         at = to
-    return share, seen, best_ll
+    return share, seen
 
 
 def _predictor(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            share, seen, _ = infer(model, *_bytes(batch, "text"))
+            share, seen = infer(model, *_bytes(batch, "text"))
             ok = seen & batch["letters"].to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
             top = share.argmax(1) if model.languages else np.zeros(len(share), int)
             names = [model.languages[k] if y else "und" for k, y in zip(top, ok, strict=True)]

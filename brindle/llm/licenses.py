@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, pick
 from .license_rules import rules
 
-#: Words are runs of characters outside these ASCII ranges (after A-Z are lower-cased).
+#: Words are runs of characters outside these ASCII ranges, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: What a detection of each priority counts as evidence; a base phrase counts as the highest.
@@ -71,11 +70,11 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Empty tables give empty results; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = pick(docs, doc_id=id_col, text=text_col).select("doc_id", lower_ascii(text).alias("low"))
-    gate = reduce(Column.__or__, [F.contains("low", F.lit(r)) for r in roots()], F.col("low").rlike(rf"cc{GAP}by"))
-    norm = F.concat(F.lit(" "), F.btrim(F.regexp_replace("low", GAP, " ")), F.lit(" "))
-    # The gate's branches are lazy: regexes run on opened texts only.
-    out = low.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, norm).alias("norm"))
+    words = F.btrim(F.regexp_replace(lower_ascii(text), GAP, " "))
+    out = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.concat(F.lit(" "), words, F.lit(" ")).alias("every"))
+    gate = reduce(Column.__or__, [F.contains("every", F.lit(r)) for r in (*roots(), " cc by ")])
+    # Phrases and rules look at opened texts only; norm is null in the others.
+    out = out.select("doc_id", F.when(F.length("every") > 2, _spaces(F.col("every")) - 1).otherwise(0).cast("long").alias("n_words"), F.when(gate, F.col("every")).alias("norm"))
     count, first, last = [], [], []
     for phrase, _ in BASE:
         hit = F.lit(f" {phrase} ")

@@ -18,8 +18,8 @@ from .common import packed, pick, slices
 BAR, END = "▁", 0xFF
 START, NONE = -1, -2
 UNIT = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
-#: Suffixes that are sorted at once; units that are remembered at most; a batch's new units are found in such portions.
-SUFFIXES, REMEMBERED = 1 << 20, 300_000
+#: Suffixes that are sorted at once; units that are remembered at most; slots for pairs of pieces whose fit is known.
+SUFFIXES, REMEMBERED, SLOTS = 1 << 21, 1_000_000, 1 << 20
 
 
 class Coder:
@@ -27,8 +27,9 @@ class Coder:
     adds a dummy prefix; anything else raises ValueError.
 
     Encoding: a text's units (a run of bars and what follows it up to the next bar; no piece crosses their borders) are
-    concatenated, the suffixes of that text are sorted, and a binary search for every piece gives the range of its
-    occurrences. These edges, sorted by position, are relaxed from left to right: an edge for piece t from i to j is
+    concatenated, the suffixes of that text are sorted (by eight bytes; longer pieces are compared in full within their
+    range), and a binary search for every piece gives the range of its occurrences. These edges, sorted by position, are
+    relaxed from left to right, in all units at once: an edge for piece t from i to j is
     taken if the last piece t' before i is compatible with it, that is, if merging the text of t' and t on its own
     yields t' and t. For byte-pair merges in order of score exactly one edge into each position is taken, and the edges
     that lead to a unit's end are its encoding.
@@ -47,15 +48,15 @@ class Coder:
         self.ids = {self.pieces[i]: i for i in plain}
         self.n = n
         coded = sorted((self.pieces[i].encode(), i) for i in plain)
-        self.width = max(len(b) for b, _ in coded)
+        self.width = -(-max(len(b) for b, _ in coded) // 8) * 8
         self.piece_at = np.array([i for _, i in coded])
         self.piece_len = np.array([len(b) for b, _ in coded])
-        self.low = np.array([b for b, _ in coded], dtype=f"S{self.width}")
-        self.high = np.array([b + bytes([END]) * (self.width + 1 - len(b)) for b, _ in coded], dtype=f"S{self.width + 1}")
+        words = lambda fill: np.frombuffer(b"".join(b.ljust(self.width, fill) for b, _ in coded), ">u8").reshape(-1, self.width // 8).astype(np.uint64)
+        self.low, self.high = words(b"\0"), words(b"\xff")
         self.fits: dict[int, bool] = {}
         self.odd: dict[str, int] = {}  # characters that aren't pieces, numbered from n
         self.odd_text: list[str] = []
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
         surface = [p.replace(BAR, " ").encode() for p in self.pieces]
         for i in range(n):
             if sp.is_byte(i):
@@ -84,43 +85,77 @@ class Coder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fit(self, a: int, b: int) -> bool:
-        key = a << 32 | b
+    def _forget(self) -> None:
+        """What is remembered is bounded; forgetting it changes no result."""
+        self.known: dict[str, int] = {}
+        self.pool, self.at, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used = 0
+        self.odd.clear()
+        self.odd_text.clear()
+        self.fits.clear()
+        self.slot_key, self.slot_fit = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+
+    def _fit(self, key: int) -> bool:
         ok = self.fits.get(key)
         if ok is None:
-            x, y = self._text(a), self._text(b)
+            x, y = self._text(key >> 32), self._text(key & 0xFFFFFFFF)
             if len(self.fits) > 4 * REMEMBERED:
                 self.fits.clear()
             ok = self.fits[key] = self._merged([*(x + y)]) == [x, y]
         return ok
 
+    def _all_fit(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether each pair of pieces is compatible, from a table by hash; pairs that aren't in it are merged once."""
+        key = before << 32 | after
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+        ok = self.slot_fit[slot]
+        miss = np.flatnonzero(self.slot_key[slot] != key)
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            fit = np.fromiter(map(self._fit, new.tolist()), bool, len(new))
+            ok[miss] = fit[back]
+            slot = slot[miss]
+            self.slot_key[slot], self.slot_fit[slot] = key[miss], ok[miss]
+            # Where two pairs share a slot, key and fit must be of the same pair.
+            wrong = self.slot_key[slot] == key[miss]
+            self.slot_fit[slot[wrong]] = ok[miss][wrong]
+        return ok
+
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and piece of every occurrence of a piece in text, a byte array, sorted by start."""
-        wide = np.concatenate([text, np.full(self.width, END, np.uint8)])
-        starts, lengths, pieces = [], [], []
+        """Start, end and piece of every occurrence of a piece in text, a byte array, in no order."""
+        wide = np.concatenate([text, np.full(self.width + 8, END, np.uint8)])
+        word = lambda at: np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)[at]).view(">u8").ravel().astype(np.uint64)
+        long_ = self.piece_len > 8
+        starts, pieces = [], []
         for a in range(0, len(text), SUFFIXES):
             at = np.arange(a, min(a + SUFFIXES, len(text)))
             at = at[((text[at] & 0xC0) != 0x80) & (text[at] != END)]  # where characters begin
-            window = np.lib.stride_tricks.sliding_window_view(wide[a : a + SUFFIXES + self.width], self.width)
-            keys = np.ascontiguousarray(window[at - a]).view(f"S{self.width}").ravel()
-            order = np.argsort(keys, kind="stable")
+            keys = word(at)
+            order = np.argsort(keys)
             keys, at = keys[order], at[order]
-            low, high = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
-            n = high - low
+            low = np.searchsorted(keys, self.low[:, 0], "left")
+            n = np.searchsorted(keys, self.high[:, 0], "right") - low
             hit = np.flatnonzero(n > 0)
             n = n[hit]
-            offset = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            starts.append(at[offset])
-            lengths.append(np.repeat(self.piece_len[hit], n))
-            pieces.append(np.repeat(self.piece_at[hit], n))
-        start = np.concatenate(starts) if starts else np.zeros(0, int)
-        order = np.argsort(start, kind="stable")
-        start = start[order]
-        return start, start + np.concatenate(lengths)[order] if len(start) else start, np.concatenate(pieces)[order] if len(start) else start
+            ends = np.cumsum(n)
+            start = at[np.arange(ends[-1] if len(ends) else 0) + np.repeat(low[hit] - (ends - n), n)]
+            piece = np.repeat(hit, n)
+            rest = np.flatnonzero(long_[piece])
+            for k in range(1, self.width // 8):
+                rest = rest[self.piece_len[piece[rest]] > 8 * k]
+                got = word(start[rest] + 8 * k)
+                bad = (got < self.low[piece[rest], k]) | (got > self.high[piece[rest], k])
+                piece[rest[bad]] = -1
+                rest = rest[~bad]
+            ok = piece >= 0
+            starts.append(start[ok])
+            pieces.append(piece[ok])
+        start, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, pieces))
+        return start, start + self.piece_len[piece], self.piece_at[piece]
 
     def _learn(self, units: list[str]) -> None:
         """Encodes units, all of them at once, and remembers them."""
-        coded = [u.encode() for u in units]
+        coded = [(BAR + u).encode() for u in units]
         text = np.frombuffer(bytes([END]).join(coded) + bytes([END]), np.uint8)
         start, end, piece = self.edges(text)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
@@ -128,55 +163,85 @@ class Coder:
         begins = ends - sizes
         # Characters that are no piece are edges as well.
         first = np.flatnonzero(((text & 0xC0) != 0x80) & (text != END))
-        after = np.append(first[1:], len(text))
-        after = np.where(text[np.minimum(after, len(text)) - 1] == END, after - 1, after)
+        stop = np.zeros(len(text) + 1, np.int64)
+        lead = text[first]
+        stop[first] = first + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
         single = np.zeros(len(text) + 1, bool)
-        span = np.zeros(len(text), np.int64)
-        span[first] = after - first
-        single[start[end - start == span[start]]] = True
+        single[start[end == stop[start]]] = True
         bare = first[~single[first]]
         if len(bare):
-            raw = text.tobytes()
             codes = []
-            for s in bare.tolist():
-                c = raw[s : s + int(span[s])].decode()
+            raw = text.tobytes()
+            for s, e in zip(bare.tolist(), stop[bare].tolist(), strict=True):
+                c = raw[s:e].decode()
                 if c not in self.odd:
                     self.odd[c] = self.n + len(self.odd_text)
                     self.odd_text.append(c)
                 codes.append(self.odd[c])
-            start, end, piece = np.concatenate([start, bare]), np.concatenate([end, bare + span[bare]]), np.concatenate([piece, np.array(codes)])
-            order = np.argsort(start, kind="stable")
-            start, end, piece = start[order], end[order], piece[order]
-        last = [NONE] * (len(text) + 1)
-        since = [0] * (len(text) + 1)
-        for b in begins.tolist():
-            last[b] = START
-        fits, fit = self.fits, self._fit
-        for s, e, t in zip(start.tolist(), end.tolist(), piece.tolist(), strict=True):
-            before = last[s]
-            if before == START or before != NONE and (ok if (ok := fits.get(before << 32 | t)) is not None else fit(before, t)):
-                last[e], since[e] = t, s
-        for unit, b, e in zip(units, begins.tolist(), ends.tolist(), strict=True):
-            ids = []
-            # The position after a unit holds its separator, so the next unit's beginning is never overwritten.
-            while e > b:
-                t = last[e]
-                if t < self.n:
-                    ids.append(t)
-                else:
-                    ids.extend(self.bytes_id[x] for x in reversed(self.odd_text[t - self.n].encode()))
-                e = since[e]
-            self.known[unit] = np.array(ids[::-1], np.int32)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [UNIT.findall(BAR + t.replace(" ", BAR)) if t else [] for t in texts]
+            start, end, piece = np.concatenate([start, bare]), np.concatenate([end, stop[bare]]), np.concatenate([piece, np.array(codes)])
+        last, since = np.full(len(text) + 1, NONE, np.int64), np.zeros(len(text) + 1, np.int64)
+        last[begins] = START
+        # By place in the unit: whatever leads to a place comes before what starts there.
+        place = start - np.repeat(begins, sizes + 1)[start]
+        order = np.argsort(place << 40 | start)
+        start, end, piece, place = start[order], end[order], piece[order], place[order]
+        cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            before = last[start[a:b]]
+            on = np.flatnonzero(before != NONE) + a
+            before, after = last[start[on]], piece[on]
+            ok = before == START
+            inner = np.flatnonzero(~ok)
+            if len(inner):
+                ok[inner] = self._all_fit(before[inner], after[inner])
+            on = on[ok]
+            last[end[on]], since[end[on]] = piece[on], start[on]
+        # Back from the units' ends. An odd character stands for its bytes.
+        steps, at, unit = [], ends.copy(), np.arange(len(units))
+        while len(unit):
+            steps.append((unit, last[at]))
+            at = since[at]
+            go = at > begins[unit]
+            unit, at = unit[go], at[go]
+        of = np.concatenate([u for u, _ in steps])
+        ids = np.concatenate([t for _, t in steps])
+        order = np.argsort(of << 32 | (len(steps) - np.repeat(np.arange(len(steps)), [len(u) for u, _ in steps])))
+        of, ids = of[order], ids[order]
+        if (ids >= self.n).any():
+            split = [[t] if t < self.n else [self.bytes_id[x] for x in self.odd_text[t - self.n].encode()] for t in ids.tolist()]
+            of = np.repeat(of, [len(x) for x in split])
+            ids = np.array([t for x in split for t in x])
+        n = np.bincount(of, minlength=len(units))
+        have = len(self.known)
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.at) < have + len(units):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[have : have + len(units)] = self.used + np.cumsum(n) - n
+        self.size[have : have + len(units)] = n
+        self.used += len(ids)
+        self.known.update(zip(units, range(have, have + len(units)), strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        flat: list[str] = []
+        counts = []
+        for t in texts:
+            # Every unit begins with a bar, so units are known by what follows it. Words with one space between them, the
+            # usual case, need no search.
+            if not t:
+                units = []
+            elif "  " in t or BAR in t or t[0] == " " or t[-1] == " ":
+                units = [u[1:] for u in UNIT.findall(BAR + t.replace(" ", BAR))]
+            else:
+                units = t.split(" ")
+            flat += units
+            counts.append(len(units))
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.odd.clear()
-            self.odd_text.clear()
-            self.fits.clear()
+            self._forget()
         new, held = [], 0
-        for u in dict.fromkeys(u for units in split for u in units if u not in self.known):
+        for u in {*flat}.difference(self.known):
             new.append(u)
             held += len(u)
             if held >= SUFFIXES // 2:
@@ -184,8 +249,13 @@ class Coder:
                 new, held = [], 0
         if new:
             self._learn(new)
-        get, none = self.known.__getitem__, np.zeros(0, np.int32)
-        return [np.concatenate([*map(get, units)]) if units else none for units in split]
+        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        size = self.size[which]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.arange(total) + np.repeat(self.at[which] - (ends - size), size)] if total else np.zeros(0, np.int32)
+        text_ends = np.concatenate([[0], ends])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
+        return ids, np.diff(text_ends, prepend=0)
 
     # -------------------------------------------------------------- decoding
 
@@ -215,22 +285,19 @@ def _strings(column: pa.Array) -> list[str]:
     return [x.decode(errors="replace") for x in column.to_pylist()]
 
 
-def _mapper(model: bytes, keep: tuple[str, ...], ids: bool):
+def _mapper(model: bytes, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         # Token ids take more room than texts, so batches are small.
         for batch in slices(batches, 2 << 20):
             raw = batch["text"].to_pylist()
             texts = _strings(batch["text"])
-            coded = own.encode(texts)
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            arrays = [batch[k] for k in keep] + [pa.array(sizes, pa.int64())]
-            names = [*keep, "n_tokens"]
-            if ids:
-                flat = pa.array(np.concatenate(coded) if coded else np.zeros(0, np.int32), pa.int32())
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat))
-                names.append("ids")
-            back = [own.decode(c.tolist()).encode() for c in coded]
+            coded, sizes = own.encode(texts)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            arrays = [batch[k] for k in keep] + [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(coded, pa.int32()))]
+            names = [*keep, "n_tokens", "ids"]
+            flat = coded.tolist()
+            back = [own.decode(flat[a:b]).encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             arrays += [pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([a == b for a, b in zip(raw, back, strict=True)])]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "decoded_sha256", "lossless"])
 
@@ -248,7 +315,7 @@ def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_mapper(model, ("doc_id",), True), f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
+    return rows.mapInArrow(_mapper(model, ("doc_id",)), f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
 
 
 def decode_ids(rows: DataFrame, model: bytes, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -276,5 +343,5 @@ def encode_columns(docs: DataFrame, model: bytes, *, text_col: str = "text") ->
     names = docs.columns
     rows = rows.select("_row", F.coalesce(F.col("_row")[f"_in{names.index(text_col)}"], F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["_row"].dataType.simpleString()
-    out = rows.mapInArrow(_mapper(model, ("_row",), True), f"_row {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
+    out = rows.mapInArrow(_mapper(model, ("_row",)), f"_row {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
     return out.select(*[F.col("_row")[f"_in{i}"].alias(f"_out{i}") for i in range(len(names))], *made).toDF(*names, *made)

@@ -25,7 +25,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: IDF is kept in so many steps, and lies between 1 and 1 + DAMP: copies raise the frequency of their own shingles, so
 #: that an undamped IDF would make the members of a large group look less alike than those of a small one.
-STEPS, DAMP = 64, 0.25
+STEPS, DAMP = 16, 0.25
 #: Logarithms of term frequencies up to this come from a table.
 TF_TABLE = 1024
 #: A pair whose samples agree in less than this share is not verified: over five standard deviations below SIMILAR.
@@ -173,9 +173,22 @@ def _steps(s: Shingles, steps: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ samples and bands
 
+def _keys(draw: np.ndarray, log_w: np.ndarray) -> np.ndarray:
+    """For each draw its value log c - r (t - b) - r with t = floor(log w / r + b), in the upper half of 64 bits that sort
+    as the values do. The value depends on the weight through t alone."""
+    bias = _B[draw]
+    value = _BASE[draw] - _R[draw] * (np.floor(log_w * _INV[draw] + bias) - bias)
+    bits = value.view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64) << np.uint64(32)
+
+
+#: The keys of all draws for each step of IDF, at term frequency 1.
+_TABLE = np.concatenate([_keys(np.arange(1 << 16), np.full(1 << 16, x, np.float32)) for x in _LOG_IDF])
+
+
 def samples(s: Shingles, steps: np.ndarray) -> np.ndarray:
-    """SAMPLES hashes of each text: improved consistent weighted sampling (r, c, b drawn for each shingle and sample;
-    t = floor(log w / r + b); the shingle with the smallest log c - r (t - b) - r wins, and (shingle, t) is the sample).
+    """SAMPLES hashes of each text: improved consistent weighted sampling. Each shingle and sample have a draw of r, c and
+    b; the shingle with the smallest value (see _keys) wins, and shingle and value, which stands for t, are the sample.
     Texts without shingles have zeros."""
     texts = len(s.starts) - 1
     out = np.zeros((SAMPLES, texts), np.uint64)
@@ -186,20 +199,21 @@ def samples(s: Shingles, steps: np.ndarray) -> np.ndarray:
         lo, hi = int(s.starts[a]), int(s.starts[b])
         if hi > lo:
             h = s.hash[lo:hi]
-            log_w = _LOG_IDF[_steps(Shingles(h, *[None] * 3), steps)] + _LOG_TF[np.minimum(s.tf[lo:hi], TF_TABLE - 1)]
+            step = _steps(Shingles(h, *[None] * 3), steps)
+            row, own = step.astype(np.uint64) << np.uint64(16), h & np.uint64(0xFFFFFFFF)
+            many = np.flatnonzero(s.tf[lo:hi] > 1)
+            log_w = _LOG_IDF[step[many]] + _LOG_TF[np.minimum(s.tf[lo:hi][many], TF_TABLE - 1)]
             has = np.flatnonzero(np.diff(s.starts[a : b + 1]) > 0)
             starts = s.starts[a : b + 1][has] - lo
-            of = np.repeat(np.arange(len(has)), np.diff(np.append(starts, hi - lo)))
             for k in range(SAMPLES):
-                i = ((h * _TURN[k]) >> np.uint64(48)).astype(np.int64)
-                bias = _B[i]
-                t = np.floor(log_w * _INV[i] + bias)
-                value = _BASE[i] - _R[i] * (t - bias)
-                win = np.flatnonzero(value == np.minimum.reduceat(value, starts)[of])
-                code = _mix(h[win] + t[win].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                out[k, a + has] = np.minimum.reduceat(code, np.searchsorted(of[win], np.arange(len(has))))
+                draw = (h * _TURN[k]) >> np.uint64(48)
+                key = _TABLE.take((draw | row).view(np.int64))
+                if len(many):
+                    key[many] = _keys(draw[many].view(np.int64), log_w)
+                key |= own
+                out[k, a + has] = np.minimum.reduceat(key, starts)
         a = b
-    return out
+    return _mix(out)
 
 
 def _signatures(steps: Broadcast):

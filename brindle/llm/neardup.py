@@ -28,6 +28,8 @@ SKETCH_BITS, BLOCK_BITS = 22, 16
 STEPS, DAMP = 16, 0.25
 #: Logarithms of term frequencies up to this come from a table.
 TF_TABLE = 1024
+#: Text ids that are broadcast at most (8 bytes each) to fetch the texts of candidate pairs.
+MOST_BROADCAST = 4_000_000
 #: A pair whose samples agree in less than this share is not verified: over five standard deviations below SIMILAR.
 LEAST_AGREE = 0.6
 
@@ -266,10 +268,18 @@ def _verify(steps: Broadcast, threshold: float):
     return run
 
 
+def _texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and text of the nodes asked for. Ids up to MOST_BROADCAST are broadcast, so that no other text moves; beyond
+    that the join shuffles."""
+    asked = stored(asked, "nd-asked")
+    if asked.count() <= MOST_BROADCAST:
+        asked = F.broadcast(asked)
+    return stored(texts.join(asked, "node", "left_semi"), "nd-texts")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, steps: Broadcast, threshold: float) -> DataFrame:
     """Of pairs (a, b) those whose texts are similar. Only texts in pairs are moved."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = stored(texts.join(asked, "node", "left_semi"), "nd-texts")
+    own = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts)
     one = own.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = own.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")

@@ -30,6 +30,8 @@ STEPS, DAMP = 16, 0.25
 TF_TABLE = 1024
 #: Text ids that are broadcast at most (8 bytes each) to fetch the texts of candidate pairs.
 MOST_BROADCAST = 4_000_000
+#: Members of an open bucket that a task holds at once, at most twice over.
+BLOCK = 2048
 #: A pair whose samples agree in less than this share is not verified: over five standard deviations below SIMILAR.
 LEAST_AGREE = 0.6
 
@@ -286,37 +288,72 @@ def _links(pairs: DataFrame, texts: DataFrame, steps: Broadcast, threshold: floa
     return both.mapInArrow(_verify(steps, threshold), "a long, b long, weighted double, plain double")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket. Pairs of a bucket's members from different components whose prints agree enough."""
-    held: list[pa.RecordBatch] = []
+def _across(steps: Broadcast, threshold: float):
+    """Rows come sorted by bucket and block pair (p, q). Links between members of different components: of one block if p
+    and q are the same, else between the two. A pair that shares several buckets is compared in that of its first band."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        node, comp = table["node"].to_numpy(), table["component"].to_numpy()
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        node, comp, blk = table["node"].to_numpy(), table["component"].to_numpy().copy(), table["blk"].to_numpy()
+        band, cross = table["band"][0].as_py(), table["p"][0].as_py() != table["q"][0].as_py()
         prints = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint8).reshape(len(node), SAMPLES)
-        for i in range(len(node) - 1):
-            for at in range(i + 1, len(node), 65536):
-                part = slice(at, at + 65536)
-                other = np.flatnonzero(comp[part] != comp[i]) + at
-                hit = other[(prints[other] == prints[i]).mean(1) >= LEAST_AGREE] if len(other) else other
-                if len(hit):
-                    lo, hi = np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])
-                    yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
-
-    last = None
-    for batch in batches:
-        bucket = batch["bucket"].to_numpy()
-        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
+        bands = pa.concat_arrays(table["bands"].chunks).flatten().to_numpy().reshape(len(node), BANDS)
+        s = shingles(*_bytes(pa.RecordBatch.from_arrays([pa.concat_arrays(table["text"].chunks)], ["text"]), "text"))
+        w = _IDF[_steps(s, steps.value)] * s.tf
+        total, count = np.add.reduceat(w, s.starts[:-1]), np.diff(s.starts)
+        words, word = np.unique(s.hash, return_inverse=True)
+        own_w, own_1 = np.zeros(len(words)), np.zeros(len(words))
+        for i in range(len(node)):
+            if cross:
+                other = np.flatnonzero((comp != comp[i]) & (blk != blk[i])) if blk[i] == blk[0] else np.zeros(0, int)
+            else:
+                other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            if len(other):
+                other = other[(prints[other] == prints[i]).mean(1) >= LEAST_AGREE]
+            if len(other):
+                other = other[(bands[other] == bands[i]).argmax(1) == band]
+            if not len(other):
                 continue
-            if bucket[a] != last and held:
-                yield from flush()
-                held = []
-            last = bucket[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield from flush()
+            mine = slice(s.starts[i], s.starts[i + 1])
+            own_w[word[mine]], own_1[word[mine]] = w[mine], 1
+            ends = np.cumsum(count[other])
+            at = np.arange(ends[-1]) + np.repeat(s.starts[other] - (ends - count[other]), count[other])
+            first = ends - count[other]
+            both = np.add.reduceat(np.minimum(w[at], own_w[word[at]]), first)
+            shared = np.add.reduceat(own_1[word[at]], first)
+            own_w[word[mine]] = own_1[word[mine]] = 0
+            like = np.maximum(both / (total[i] + total[other] - both), shared / (count[i] + count[other] - shared))
+            hit = other[like >= threshold]
+            for j in hit:
+                comp[comp == comp[j]] = comp[i]
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[hit])), pa.array(np.maximum(node[i], node[hit]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch[k].to_numpy() for k in ("bucket", "p", "q")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if last != (key := tuple(keys[:, a].tolist())) and held:
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+                last = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    return run
+
+
+def _open(shared: DataFrame, same: DataFrame) -> DataFrame:
+    """bucket, band, node and component, and size, of the buckets of more than two that lie in several components."""
+    own = shared.where("n > 2").select("bucket", "band", "node").join(same, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spans = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
+    return own.join(spans, "bucket")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -334,11 +371,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     1. A sketch of document frequencies from all documents (see idf_steps) gives each shingle its weight.
     2. 126 consistent weighted samples of each text make 21 band hashes of 6. Exact copies collapse by text hash first.
-    3. In each bucket (band hash) every member is paired with the bucket's smallest; pairs are verified on whole texts,
-       and verified links make components. Then, where a bucket's members still lie in different components, each pair
-       across components whose samples agree in 60 % or more is verified too. No pair that shares a bucket is left out
-       but those already connected and those whose 126 samples rule it out; nothing is capped, and groups of thousands
-       of copies cost one link a copy.
+    3. In each bucket (band hash) every member is paired with the member that has most copies; pairs are verified on
+       whole texts, and verified links make components. Where a bucket's members still lie in different components, they
+       are paired with a member picked by hash, and at last each pair across components whose samples agree in 60 % or
+       more is verified too, within the bucket, in pairs of blocks of 2,048, without making a row for each pair. No pair that shares a bucket is left out but those already connected and those whose
+       126 samples rule it out; nothing is capped, and groups of thousands of copies cost a few links a copy.
 
     Buckets meet by pre-aggregated minima and plain equi-joins, which AQE splits where one is hot. Texts without a word
     are alike only if they are equal. A null text is an empty one. Rows that share a doc_id share a class; a null doc_id
@@ -360,22 +397,32 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     marks = stored(rows.select("node", "t1", "t2", "text").mapInArrow(_signatures(steps), "node long, t1 long, t2 long, bands array<long>, print binary"), "nd-marks")
     exact = marks.groupBy("t1", "t2").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("print").alias("print"))
     exact = stored(exact, "nd-exact")
-    member = exact.select(F.explode("bands").alias("bucket"), "node")
-    buckets = member.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(member.join(buckets, "bucket"), "nd-buckets")
+    member = exact.select(F.posexplode("bands").alias("band", "bucket"), "node", F.col("n").alias("copies"))
+    # The first leader of a bucket is the text with most copies, which is likely to be in the middle of its group.
+    buckets = member.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("node")).alias("minus"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("bucket", (-F.col("top.minus")).alias("leader"), "n")
+    shared = stored(member.join(buckets, "bucket").drop("copies"), "nd-buckets")
     texts = rows.select("node", "text")
-    pairs = stored(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct(), "nd-pairs")
+    ordered = [F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")]
+    pairs = stored(shared.where("leader <> node").select(*ordered).distinct(), "nd-pairs")
     links = stored(_links(pairs, texts, steps, threshold).select("a", "b"), "nd-links")
     same = components(links)
-    # Buckets of two are done. Of larger ones, those that still span components need their other pairs.
-    open_ = shared.where("n > 2").select("bucket", "node").join(same, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spans = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = open_.join(spans, "bucket").join(exact.select("node", "print").dropDuplicates(["node"]), "node").select("bucket", "node", "component", "print")
-    more = open_.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_across, "a long, b long").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "nd-more")
+    # Buckets of two are done. Larger ones that still span components need their other pairs: first with one member,
+    # another in each bucket, which leaves few buckets open, then all pairs across components.
+    open_ = _open(shared, same)
+    leader = open_.groupBy("bucket").agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("component").alias("other")), F.xxhash64("bucket", "node")).alias("x")).select("bucket", "x.*")
+    more = stored(open_.join(leader, "bucket").where("component <> other").select(*ordered).distinct().join(pairs, ["a", "b"], "left_anti"), "nd-more")
     if more.limit(1).count():
-        links = stored(links.unionByName(_links(more, texts, steps, threshold).select("a", "b")), "nd-all-links")
+        links = stored(links.unionByName(_links(more, texts, steps, threshold).select("a", "b")), "nd-links")
         same = components(links)
+        rest = stored(_open(shared, same), "nd-open")
+        if rest.limit(1).count():
+            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+            rest = rest.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+            own = _texts(rest.select("node").distinct(), texts).join(exact.select("node", "bands", "print").dropDuplicates(["node"]), "node")
+            rest = rest.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")).select("bucket", "band", "node", "component", "blk", F.least("blk", "with").alias("p"), F.greatest("blk", "with").alias("q"))
+            rest = rest.join(own, "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "blk", "node")
+            links = stored(links.unionByName(rest.mapInArrow(_across(steps, threshold), "a long, b long")), "nd-links")
+            same = components(links)
     members = exact.select("t1", "t2", "node", "n").join(same, "node", "left").select("t1", "t2", "node", "n", F.coalesce("component", "node").alias("class_id"))
     return rows, marks, stored(members, "nd-members")
 

@@ -357,9 +357,9 @@ def _open(shared: DataFrame, same: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node (doc_id, or a negative number from the text), t1 and t2 (the text's hashes), text as bytes."""
+    """node (doc_id, or a number from 2^62 that the text gives), t1 and t2 (the text's hashes), text as bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)) + F.pmod(F.xxhash64(text), F.lit(2**61)))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.pmod(F.xxhash64(text), F.lit(2**61)))
     return pick(docs, doc_id=id_col, text=text_col).select("doc_id", own.alias("node"), F.xxhash64(F.lit(0), text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.cast("binary").alias("text"))
 
 
@@ -379,7 +379,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Buckets meet by pre-aggregated minima and plain equi-joins, which AQE splits where one is hot. Texts without a word
     are alike only if they are equal. A null text is an empty one. Rows that share a doc_id share a class; a null doc_id
-    stands by its text alone, and a class of such rows only has a negative class_id. Empty tables give empty results;
+    stands by its text alone, and a class of such rows only has a class_id from 2^62. Empty tables give empty results;
     other columns are ignored.
     """
     rows, marks, members = _classes(docs, id_col, text_col, threshold)
@@ -437,6 +437,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows, unpack = packed(docs)
     text = F.coalesce(F.col("_row")[f"_in{names.index(text_col)}"], F.lit(""))
     doc_id = F.col("_row")[f"_in{names.index(id_col)}"].cast("long")
-    rows = rows.select("_row", F.coalesce(doc_id, F.lit(-(2**62)) + F.pmod(F.xxhash64(text), F.lit(2**61))).alias("node"), F.xxhash64(F.lit(0), text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    rows = rows.select("_row", F.coalesce(doc_id, F.lit(2**62) + F.pmod(F.xxhash64(text), F.lit(2**61))).alias("node"), F.xxhash64(F.lit(0), text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     kept = rows.join(keep, (F.col("node") == F.col("_node")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left_semi")
     return unpack(kept.dropDuplicates(["node"]) if repeated else kept)

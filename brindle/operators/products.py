@@ -44,7 +44,7 @@ def match_or_create(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     rows = names.select("name_id", norm_product(F.col("name")).alias("name_normalized"))
     known = match_static(rows, catalogue).select("name_normalized", F.col("id").alias("_known"))
     rest = rows.join(known, "name_normalized", "left")
-    fresh = rest.where("_known is null").groupBy("name_normalized").agg((-1 - F.min("name_id")).alias("id"))
+    fresh = rest.where("_known is null").groupBy("name_normalized").agg(F.min("name_id").alias("id"))
     inner = match_static(fresh, fresh).select("name_normalized", F.col("id").alias("_inner"))
-    firsts = fresh.join(inner, "name_normalized", "left").select("name_normalized", F.greatest("id", F.coalesce("_inner", "id")).alias("_new"))
+    firsts = fresh.join(inner, "name_normalized", "left").select("name_normalized", (-1 - F.least("id", F.coalesce("_inner", "id"))).alias("_new"))
     return rest.join(firsts, "name_normalized", "left").select("name_id", "name_normalized", F.coalesce("_known", "_new").alias("product_id"))

@@ -513,7 +513,7 @@ def fmt_toman(spark, d):
     return X.raw(spark, d, "part").select(F.col("p_partkey").alias("id"), P.format_toman(amount).alias("toman"), P.to_rials(amount.cast("double"), F.when(F.col("p_partkey") % 2 == 0, "IRT").otherwise("IRR")).alias("rials"))
 
 
-@register("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) * 10000000 END AS price, CASE WHEN p_partkey % 2 = 0 THEN 0.65 END AS confidence, CASE p_partkey % 3 WHEN 0 THEN 'موجود' WHEN 1 THEN 'ناموجود' ELSE 'نامشخص' END AS label FROM part")
+@register("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) * 10000000 END AS price, CASE WHEN p_partkey % 2 = 0 THEN CAST(0.65 AS DOUBLE) END AS confidence, CASE p_partkey % 3 WHEN 0 THEN 'موجود' WHEN 1 THEN 'ناموجود' ELSE 'نامشخص' END AS label FROM part")
 def price_from_text(spark, d):
     """fn_price_regex, fn_parse_number, fn_price_extract, fn_avail_label: prices in plain toman aren't accepted"""
     unit = F.when(F.col("p_partkey") % 2 == 0, " میلیون تومان").otherwise("۰۰۰ تومان")

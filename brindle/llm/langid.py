@@ -18,9 +18,16 @@ BITS = 14
 BINS = 1 << BITS
 #: Documents that are told apart at once; their bins are counted in one array.
 CHUNK = 128
+#: Bytes whose n-grams are listed at once, so that the length of a text doesn't matter.
+WINDOW = 1 << 20
 MAX_LANGUAGES = 512
 
 
+_FOLD = np.arange(256, dtype=np.uint32)
+_FOLD[:128] = 32
+_FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
+
+
 class Model(NamedTuple):
     languages: list[str]
     ratio: np.ndarray  # float32, bins x languages: likelihoods over the largest of the bin
@@ -34,22 +41,28 @@ def _bytes(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def grams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: the bins of its byte trigrams and of its byte bigrams, and the text each belongs to. ASCII capitals
-    count as small letters; other ASCII bytes that are no letters, as one space."""
-    fold = np.arange(256, dtype=np.uint32)
-    fold[:128] = 32
-    fold[97:123] = np.arange(97, 123)
-    fold[65:91] = np.arange(97, 123)
-    x = fold[data]
-    of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    mix = lambda v: ((v * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
-    two, three = x[:-1] << 8 | x[1:], x[:-2] << 16 | x[1:-1] << 8 | x[2:]
-    same2, same3 = of[:-1] == of[1:], of[:-2] == of[2:]
+def grams(data: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of the byte bigrams and trigrams that begin among the first n bytes, and the text each belongs to (of: the
+    text of each byte). ASCII capitals count as small letters; other ASCII bytes that are no letters, as one space."""
+    x = _FOLD[data]
+    mix = lambda v: ((v * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32)
+    two, three = (x[:-1] << 8 | x[1:])[:n], (x[:-2] << 16 | x[1:-1] << 8 | x[2:])[:n]
     # Runs of spaces say nothing.
-    same2 &= two != 0x2020
-    same3 &= (three & 0xFFFF) != 0x2020
-    return np.concatenate([mix(two + np.uint32(1 << 25))[same2], mix(three)[same3]]), np.concatenate([of[:-1][same2], of[:-2][same3]])
+    same2 = (of[:-1] == of[1:])[:n] & (two != 0x2020)
+    same3 = (of[:-2] == of[2:])[:n] & ((three & 0xFFFF) != 0x2020)
+    return np.concatenate([mix(two + np.uint32(1 << 25))[same2], mix(three)[same3]]), np.concatenate([of[: len(same2)][same2], of[: len(same3)][same3]])
+
+
+def gram_table(data: np.ndarray, ends: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Counts of n-grams by group of texts (group: of each text) and bin, a window of the data at a time."""
+    counts = np.zeros(groups * BINS, np.int64)
+    for at in range(0, len(data), WINDOW):
+        lo, hi = np.searchsorted(ends, [at, min(at + WINDOW + 2, len(data))], "right")
+        cut = np.clip(ends[lo - 1 : hi + 1], at, min(at + WINDOW + 2, len(data)))
+        of = np.repeat(np.arange(lo - 1, lo - 1 + len(cut) - 1, dtype=np.int32), np.diff(cut))
+        bins, text = grams(data[at : at + WINDOW + 2], of, WINDOW)
+        counts += np.bincount(group[text] * BINS + bins, minlength=groups * BINS)
+    return counts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,10 +72,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = batch["lang"].dictionary_encode()
         names = codes.dictionary.to_pylist()
         lang = codes.indices.to_numpy(zero_copy_only=False)
-        bins, of = grams(*_bytes(batch, "text"))
+        got = gram_table(*_bytes(batch, "text"), lang.astype(np.int64), len(names)).reshape(-1, BINS)
         for k, name in enumerate(names):
-            got = np.bincount(bins[lang[of] == k], minlength=BINS)
-            held[name] = held[name] + got if name in held else got
+            held[name] = held[name] + got[k] if name in held else got[k].copy()
     for name, counts in held.items():
         yield pa.RecordBatch.from_pylist([{"lang": name, "counts": zlib.compress(counts.astype("<i8").tobytes(), 1)}])
 
@@ -123,8 +135,7 @@ def infer(model: Model, data: np.ndarray, ends: np.ndarray, *, rounds: int = 6,
     while at < texts and langs:
         # A chunk has a bounded number of texts and, but for a single long text, of bytes.
         to = max(at + 1, min(at + CHUNK, texts, int(np.searchsorted(ends, ends[at] + (1 << 20)))))
-        bins, of = grams(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
-        counts = np.bincount(of * BINS + bins, minlength=(to - at) * BINS)
+        counts = gram_table(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at], np.arange(to - at), to - at)
         cell = np.flatnonzero(counts)
         if len(cell):
             text, n = cell >> BITS, counts[cell].astype(np.float32)

@@ -195,11 +195,23 @@ def test_language_odd(spark, sf):
     assert kept.columns == docs(spark, rows).columns and kept.count() == 3
 
 
+def test_windows_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(60, 130, n).tolist()) for n in (0, 5, 1, 2, 300, 0, 7, 64, 0)]
+    args = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.arange(len(texts)), len(texts)
+    whole = langid.gram_table(*args)
+    for n in (1, 3, 64):
+        monkeypatch.setattr(langid, "WINDOW", n)
+        assert (langid.gram_table(*args) == whole).all()
+    alone = [langid.gram_table(np.frombuffer(t, np.uint8), np.array([0, len(t)]), np.zeros(1, int), 1) for t in texts]
+    assert (np.concatenate(alone) == whole).all() and whole.sum() == sum(max(0, len(t) - 1) + max(0, len(t) - 2) for t in texts) - sum(t[i : i + 2].translate(None, bytes(c for c in range(128) if not chr(c).isalpha())) == b"" for t in texts for i in range(len(t) - 1)) - sum(t[i + 1 : i + 3].translate(None, bytes(c for c in range(128) if not chr(c).isalpha())) == b"" for t in texts for i in range(len(t) - 2))
+
+
 def test_mixture():
     rng = np.random.default_rng(2)
     words = [[bytes(rng.integers(97, 123, 5).tolist()) for _ in range(50)] for _ in range(3)]
     say = lambda k, n: b" ".join(words[k][i] for i in rng.integers(0, 50, n))
-    counts = np.stack([np.bincount(langid.grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], minlength=langid.BINS) for t in (say(k, 3000) for k in range(3))], 1) + 0.5
+    counts = np.stack([langid.gram_table(np.frombuffer(t, np.uint8), np.array([0, len(t)]), np.zeros(1, int), 1) for t in (say(k, 3000) for k in range(3))], 1) + 0.5
     p = counts / counts.sum(0)
     model = langid.Model(["a", "b", "c"], np.maximum(p / p.max(1, keepdims=True), 1e-9).astype(np.float32))
     texts = [say(0, 100), say(0, 70) + b" " + say(2, 30)]

@@ -18,8 +18,9 @@ from .common import packed, pick, slices
 BAR, END = "▁", 0xFF
 START, NONE = -1, -2
 UNIT = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
-#: Suffixes that are sorted at once; units that are remembered at most; slots for pairs of pieces whose fit is known.
-SUFFIXES, REMEMBERED, SLOTS = 1 << 21, 1_000_000, 1 << 20
+#: Suffixes that are sorted at once; characters of new units that are encoded together; units that are remembered at
+#: most; odd characters likewise; slots for pairs of pieces whose fit is known.
+SUFFIXES, PORTION, REMEMBERED, ODD, SLOTS = 1 << 20, 1 << 18, 500_000, 50_000, 1 << 20
 
 
 class Coder:
@@ -90,16 +91,18 @@ class Coder:
         self.known: dict[str, int] = {}
         self.pool, self.at, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
-        self.odd.clear()
-        self.odd_text.clear()
-        self.fits.clear()
-        self.slot_key, self.slot_fit = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+        # Pairs of pieces are few and stay; odd characters are numbered in the order in which they come.
+        if len(self.odd) > ODD or not hasattr(self, "slot_key"):
+            self.odd.clear()
+            self.odd_text.clear()
+            self.fits.clear()
+            self.slot_key, self.slot_fit = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
 
     def _fit(self, key: int) -> bool:
         ok = self.fits.get(key)
         if ok is None:
             x, y = self._text(key >> 32), self._text(key & 0xFFFFFFFF)
-            if len(self.fits) > 4 * REMEMBERED:
+            if len(self.fits) > SLOTS:
                 self.fits.clear()
             ok = self.fits[key] = self._merged([*(x + y)]) == [x, y]
         return ok
@@ -244,7 +247,7 @@ class Coder:
         for u in {*flat}.difference(self.known):
             new.append(u)
             held += len(u)
-            if held >= SUFFIXES // 2:
+            if held >= PORTION:
                 self._learn(new)
                 new, held = [], 0
         if new:

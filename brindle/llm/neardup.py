@@ -106,9 +106,9 @@ def shingles(data: np.ndarray, ends: np.ndarray) -> Shingles:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's counters, block by block and compressed; block -1 counts the documents."""
     table, docs = np.zeros(1 << SKETCH_BITS, np.int64), 0
-    for batch in slices(batches, 2 << 20):
+    for batch in slices(batches, 1 << 20):
         s = shingles(*_bytes(batch, "text"))
-        table += np.bincount((s.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+        np.add.at(table, (s.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         docs += int((np.diff(s.starts) > 0).sum())
     if docs:
         yield _block(-1, np.array([docs]))
@@ -222,7 +222,7 @@ def samples(s: Shingles, steps: np.ndarray) -> np.ndarray:
 
 def _signatures(steps: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 1 << 20):
             s = shingles(*_bytes(batch, "text"))
             got = samples(s, steps.value)
             n = batch.num_rows

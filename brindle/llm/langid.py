@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,10 +168,13 @@ def infer(model: Model, data: np.ndarray, ends: np.ndarray, *, rounds: int = 6,
     return share, seen
 
 
-def _predictor(model: Model):
+def _predictor(model: Model, text: str | None = None):
+    """text: the field of _row that has the text; else it is a column of its own."""
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            share, seen = infer(model, *_bytes(batch, "text"))
+            values = batch if text is None else pa.RecordBatch.from_arrays([pc.fill_null(pc.struct_field(batch["_row"], text), "").cast(pa.binary())], ["text"])
+            share, seen = infer(model, *_bytes(values, "text"))
             ok = seen & batch["letters"].to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
             top = share.argmax(1) if model.languages else np.zeros(len(share), int)
             names = [model.languages[k] if y else "und" for k, y in zip(top, ok, strict=True)]
@@ -183,8 +187,8 @@ def _predictor(model: Model):
     return predict
 
 
-def _ready(text: Column) -> list[Column]:
-    return [F.coalesce(text, F.lit("")).cast("binary").alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")]
+def _letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +200,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("doc_id").schema)
-    return rows.select("doc_id", *_ready(F.col("text"))).mapInArrow(_predictor(model), f"{out}, lang_pred string, score double, mixture string")
+    return rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), _letters(F.col("text"))).mapInArrow(_predictor(model), f"{out}, lang_pred string, score double, mixture string")
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -204,5 +208,5 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
     rows, unpack = packed(docs)
     at = f"_in{docs.columns.index(text_col)}"
     kind = rows.select("_row").schema[0].dataType.simpleString()
-    out = rows.select("_row", *_ready(F.col("_row")[at])).mapInArrow(_predictor(model), f"_row {kind}, lang_pred string, score double, mixture string")
+    out = rows.select("_row", _letters(F.col("_row")[at])).mapInArrow(_predictor(model, at), f"_row {kind}, lang_pred string, score double, mixture string")
     return unpack(out.where(F.col("lang_pred") != "und").select("_row"))

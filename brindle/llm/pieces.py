@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ class Coder:
         self.fits: dict[int, bool] = {}
         self.odd: dict[str, int] = {}  # characters that aren't pieces, numbered from n
         self.odd_text: list[str] = []
-        self._forget()
+        self.forget()
         surface = [p.replace(BAR, " ").encode() for p in self.pieces]
         for i in range(n):
             if sp.is_byte(i):
@@ -86,8 +87,8 @@ class Coder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _forget(self) -> None:
-        """What is remembered is bounded; forgetting it changes no result."""
+    def forget(self) -> None:
+        """Drops the units; what is remembered is bounded, and forgetting it changes no result."""
         self.known: dict[str, int] = {}
         self.pool, self.at, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
@@ -242,7 +243,7 @@ class Coder:
             flat += units
             counts.append(len(units))
         if len(self.known) > REMEMBERED:
-            self._forget()
+            self.forget()
         new, held = [], 0
         for u in {*flat}.difference(self.known):
             new.append(u)
@@ -288,21 +289,22 @@ def _strings(column: pa.Array) -> list[str]:
     return [x.decode(errors="replace") for x in column.to_pylist()]
 
 
-def _mapper(model: bytes, keep: tuple[str, ...]):
+def _mapper(model: bytes, keep: str, text: str | None = None):
+    """keep: the column that stays; text: the field of it that has the text, else the text is a column of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         # Token ids take more room than texts, so batches are small.
         for batch in slices(batches, 2 << 20):
-            raw = batch["text"].to_pylist()
-            texts = _strings(batch["text"])
-            coded, sizes = own.encode(texts)
+            values = batch["text"] if text is None else pc.fill_null(pc.struct_field(batch[keep], text), "").cast(pa.binary())
+            raw = values.to_pylist()
+            coded, sizes = own.encode(_strings(values))
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            arrays = [batch[k] for k in keep] + [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(coded, pa.int32()))]
-            names = [*keep, "n_tokens", "ids"]
             flat = coded.tolist()
             back = [own.decode(flat[a:b]).encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            arrays += [pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([a == b for a, b in zip(raw, back, strict=True)])]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "decoded_sha256", "lossless"])
+            arrays = [batch[keep], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(coded, pa.int32())), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()), pa.array([a == b for a, b in zip(raw, back, strict=True)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, [keep, "n_tokens", "ids", "decoded_sha256", "lossless"])
+        own.forget()
 
     return run
 
@@ -318,7 +320,7 @@ def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_mapper(model, ("doc_id",)), f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
+    return rows.mapInArrow(_mapper(model, "doc_id"), f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
 
 
 def decode_ids(rows: DataFrame, model: bytes, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -344,7 +346,7 @@ def encode_columns(docs: DataFrame, model: bytes, *, text_col: str = "text") ->
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     rows, _ = packed(docs)
     names = docs.columns
-    rows = rows.select("_row", F.coalesce(F.col("_row")[f"_in{names.index(text_col)}"], F.lit("")).cast("binary").alias("text"))
+    text = f"_in{names.index(text_col)}"
     kind = rows.schema["_row"].dataType.simpleString()
-    out = rows.mapInArrow(_mapper(model, ("_row",)), f"_row {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
+    out = rows.mapInArrow(_mapper(model, "_row", text), f"_row {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
     return out.select(*[F.col("_row")[f"_in{i}"].alias(f"_out{i}") for i in range(len(names))], *made).toDF(*names, *made)

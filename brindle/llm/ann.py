@@ -79,7 +79,7 @@ class Segment:
         return self.ids[rows][best], score[best]
 
 
-def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, pivots: int = 256, near: int = 64, share: float = 0.3, segment_rows: int = 4096, query_rows: int = 8192, least_segments: int = 48) -> DataFrame:
+def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, pivots: int = 256, near: int = 64, share: float = 0.5, segment_rows: int = 4096, query_rows: int = 8192, least_segments: int = 48) -> DataFrame:
     """The k nearest by cosine of each query (vec_id divisible by `every`): query_id, rank (from 1), vec_id, score.
 
     Pivots are the vectors with the `pivots` smallest hashes of their ids, a bounded sample; nothing else is sampled, and

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +70,21 @@ def allowed(urls: DataFrame, rules: DataFrame, *, key: str = "host", path: str =
     met = row.join(own, (F.col(key) == F.col("_host")), "left").withColumn("_met", F.coalesce(F.expr(f"`{path}` RLIKE _regex"), F.lit(False)))
     last = F.max(F.when(F.col("_met"), F.struct(F.length("pattern").alias("n"), (F.col("kind") == "disallow").alias("no"))))
     return met.groupBy("_row", *urls.columns).agg(last.alias("_last")).select(*urls.columns, F.coalesce(~F.col("_last.no"), F.lit(True)).alias("allowed"))
+
+
+def rules(files: DataFrame, agent: str) -> DataFrame:
+    """files (host, body) to the rules of the group that applies to the agent: host, kind (allow, disallow or, without a
+    pattern, delay), pattern, delay_ms. A host without a file, or without a group, has no rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for host, body in zip(frame["host"], frame["body"], strict=True):
+                group = select(parse(body), agent)
+                if group:
+                    rows += [(host, kind, p, None) for kind in ("allow", "disallow") for p in getattr(group, kind)]
+                    if delay_ms(group) is not None:
+                        rows.append((host, "delay", None, delay_ms(group)))
+            yield pd.DataFrame(rows, columns=["host", "kind", "pattern", "delay_ms"]).astype({"delay_ms": "Int64"})
+
+    return files.where("body is not null").select("host", "body").mapInPandas(run, "host string, kind string, pattern string, delay_ms long")

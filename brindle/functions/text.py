@@ -72,6 +72,24 @@ def keywords(q: str) -> list[str]:
     return list(dict.fromkeys(w for w in (re.sub(OPERATORS, "", w) for w in q.replace('"', " ").split()) if w))
 
 
+def _bare_words(c: Column) -> Column:
+    """Words without operators, in order."""
+    return F.filter(F.transform(F.split(c, r"\s+"), lambda w: F.regexp_replace(w, OPERATORS, "")), lambda w: w != "")
+
+
+def prepare_query_column(c: Column) -> Column:
+    """prepare_query for a column of queries; null reads as empty."""
+    q = F.coalesce(c, F.lit(""))
+    phrases = F.filter(F.transform(F.regexp_extract_all(q, F.lit('"([^"]*)"'), F.lit(1)), lambda p: F.btrim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+    words = _bare_words(F.regexp_replace(q, '"[^"]*"', " "))
+    return F.array_join(F.concat(F.transform(phrases, lambda p: F.concat(F.lit('+"'), p, F.lit('"'))), F.transform(words, lambda w: F.concat(F.lit("+"), w, F.lit("*")))), " ")
+
+
+def keywords_column(c: Column) -> Column:
+    """keywords for a column of queries; null reads as empty."""
+    return F.array_distinct(_bare_words(F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit(" "))))
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))

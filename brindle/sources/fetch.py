@@ -30,15 +30,15 @@ def headers_json(headers: Column) -> Column:
     return F.substring(F.to_json(F.transform_values(headers, lambda _, v: F.array_join(v, ", "))), 1, MOST_HEADERS)
 
 
-def fetch_one(url: str, agent: str, get: Callable = urllib.request.urlopen) -> dict:
-    """One GET, read in pieces up to the limit; failures are rows, not exceptions."""
+def fetch_one(url: str, agent: str, get: Callable = urllib.request.urlopen, types: tuple[str, ...] = TYPES) -> dict:
+    """One GET, read in pieces up to the limit; failures are rows, not exceptions. Without types, any type is read."""
     out = dict.fromkeys(("status", "body", "response_time_ms", "content_type", "headers", "error", "skipped_reason")) | {"url": url}
     began = time.monotonic()
     try:
         with get(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=TIMEOUT) as r:
             kind = r.headers.get("Content-Type", "")
             out |= {"status": r.status, "content_type": kind, "headers": json.dumps({k: v for k, v in r.headers.items()})[:MOST_HEADERS]}
-            if kind and not any(t in kind.lower() for t in TYPES):
+            if kind and types and not any(t in kind.lower() for t in types):
                 out["skipped_reason"] = "non_html_content_type"
             else:
                 body = r.read(MOST_BYTES + 1)
@@ -48,7 +48,7 @@ def fetch_one(url: str, agent: str, get: Callable = urllib.request.urlopen) -> d
     return out | {"response_time_ms": int((time.monotonic() - began) * 1000)}
 
 
-def fetch(urls: DataFrame, *, agent: str, concurrency: int = 5, delay_ms: int = 200, partitions: int = 15, get: Callable = urllib.request.urlopen) -> DataFrame:
+def fetch(urls: DataFrame, *, agent: str, concurrency: int = 5, delay_ms: int = 200, partitions: int = 15, get: Callable = urllib.request.urlopen, types: tuple[str, ...] = TYPES) -> DataFrame:
     """urls (host, url) to RESULT. Hosts are dealt to partitions, so that one task keeps a host's delay (with 20 % jitter);
     within a task, up to `concurrency` hosts are asked at a time."""
 
@@ -60,7 +60,7 @@ def fetch(urls: DataFrame, *, agent: str, concurrency: int = 5, delay_ms: int =
             for url in group["url"]:
                 if out:
                     time.sleep(delay_ms / 1000 * random.uniform(0.8, 1.2))
-                out.append(fetch_one(url, agent, get))
+                out.append(fetch_one(url, agent, get, types))
             return out
 
         with ThreadPoolExecutor(concurrency) as pool:

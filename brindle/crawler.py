@@ -164,15 +164,16 @@ class Crawler:
         """Prices of shop pages: the product that the name matches, or a new one; every sighting goes to the history."""
         found = I.product_prices(good).join(good.select("url", "url_hash", "title"), "url").withColumn("name", F.coalesce("product_name", "title")).where("name is not null")
         found = found.withColumn("name_id", F.pmod(F.xxhash64("url_hash"), F.lit(2**62)))
+        if found.isEmpty():
+            return self.store.none("prices")
         catalogue = self.store.read("products").groupBy("name_normalized").agg(F.min("id").alias("id"))
         matched = PR.match_or_create(found.select("name_id", "name"), catalogue)
         rows = found.join(matched, "name_id").withColumns({"domain": U.bare_host(F.col("url")), "product_url": F.col("url"), "extracted_at": self.now()})
-        rows = self.store.add("prices", rows)
-        seen = rows.join(found.withColumnsRenamed({"url_hash": "_hash"}).select("_hash", "name", "image_url"), F.col("_hash") == F.col("url_hash")).join(matched.select("product_id", "name_normalized").distinct(), "product_id")
-        new = seen.groupBy(F.col("product_id").alias("id")).agg(F.min(F.struct("name", "name_normalized", "image_url")).alias("x")).select("id", "x.*")
+        rows = self.store.add("sightings", rows)  # nothing is matched twice
+        new = rows.groupBy(F.col("product_id").alias("id")).agg(F.min(F.struct("name", "name_normalized", "image_url")).alias("x")).select("id", "x.*")
         self.store.add("products", new.join(self.store.read("products").select("id"), "id", "left_anti"))
         self.store.add("price_history", rows.withColumn("recorded_at", F.col("extracted_at")))
-        return rows
+        return self.store.add("prices", rows)
 
     def work(self, batch: int = BATCH, worker: str = "worker") -> int:
         """Both pipelines, one after the other; how many rows were claimed."""
@@ -253,5 +254,5 @@ class Crawler:
         s.add("queue", full)
         for name in ("queue", "raw_pages", "pages", "links", "domains", "products", "prices"):
             s.compact(name)
-        for name in ("fetches", "parsed"):
-            s.replace(name, s.read(name).limit(0))
+        for name in ("fetches", "parsed", "sightings"):
+            s.replace(name, s.none(name))

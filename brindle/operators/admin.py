@@ -64,6 +64,13 @@ def page_of(rows: DataFrame, order: list[Column], page: int, per_page: int = 25)
     return rows.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
 
 
+def throughput(rows: DataFrame, at: str, since: Column, until: Column, target: int = 1_000_000) -> DataFrame:
+    """One row: rows up to either instant (a, b), rows a minute between, minutes to the target (null at a standstill)."""
+    n = rows.agg(F.count_if(F.col(at) <= since).alias("a"), F.count_if(F.col(at) <= until).alias("b"))
+    rate = (F.col("b") - F.col("a")) / (F.unix_seconds(until.cast("timestamp")) - F.unix_seconds(since.cast("timestamp"))) * 60
+    return n.select("a", "b", rate.alias("per_minute"), F.try_divide(F.greatest(F.lit(0), target - F.col("b")).cast("double"), rate).alias("minutes_left"))
+
+
 def duration(minutes: float) -> str:
     return f"{int(minutes) // 60}h {int(minutes) % 60}m"
 

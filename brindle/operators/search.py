@@ -126,6 +126,11 @@ def pager(page: int, last: int) -> list[int]:
     return list(range(max(1, page - 2), min(last, page + 2) + 1))
 
 
+def pager_column(page: Column, last: Column) -> Column:
+    """pager for columns."""
+    return F.sequence(F.greatest(F.lit(1), page - 2), F.least(last, page + 2))
+
+
 def validate(q: str, page: int = 1, language: str | None = None, domain: str | None = None, sort: str = "relevance") -> None:
     if not q or len(q) > 500 or page < 1 or len(language or "") > 10 or len(domain or "") > 255 or sort not in ("relevance", "date"):
         raise ValueError("q (up to 500 characters), page from 1, language up to 10, domain up to 255 characters, sort relevance or date")

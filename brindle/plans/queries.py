@@ -580,6 +580,56 @@ def add_domains(spark, d):
     return FR.add_domains(known, pages.select("url"))
 
 
+# ------------------------------------------------------------------ queries, robots files, edits
+
+ASKED = "asked AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN event_type || ' \"red  ' || event_type || '\" +new' WHEN 1 THEN '-' || event_type || ' (' || event_type || ')' WHEN 2 THEN '\" \" a*b' ELSE event_type END AS q FROM events)"
+BARE = r"list_filter(list_transform(regexp_split_to_array({}, '\s+'), lambda w: regexp_replace(w, '[+\-<>()~*\"@]+', '', 'g')), lambda w: w <> '')"
+
+
+@register(Q.q(ASKED, f"p AS (SELECT *, list_filter(list_transform(regexp_extract_all(q, '\"([^\"]*)\"', 1), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS phrases, {BARE.format("regexp_replace(q, '\"[^\"]*\"', ' ', 'g')")} AS words, {BARE.format("replace(q, '\"', ' ')")} AS k FROM asked)", "SELECT id, array_to_string(list_concat(list_transform(phrases, lambda x: '+\"' || x || '\"'), list_transform(words, lambda x: '+' || x || '*')), ' ') AS prepared, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), ' ') AS keywords FROM p"))
+def query_parse(spark, d):
+    """fn_prepare_query, fn_keywords, fn_lower/fn_filled for a column of queries"""
+    kind, k = F.col("event_type"), F.col("event_id") % 4
+    q = F.when(k == 0, F.concat(kind, F.lit(' "red  '), kind, F.lit('" +new'))).when(k == 1, F.concat(F.lit("-"), kind, F.lit(" ("), kind, F.lit(")"))).when(k == 2, '" " a*b').otherwise(kind)
+    return X.raw(spark, d, "events").select(F.col("event_id").alias("id"), T.prepare_query_column(q).alias("prepared"), F.array_join(T.keywords_column(q), " ").alias("keywords"))
+
+
+@register("SELECT event_id AS id, last, array_to_string(list_transform(range(greatest(1, page - 2), least(last, page + 2) + 1), lambda x: CAST(x AS VARCHAR)), ' ') AS buttons FROM (SELECT event_id, 1 + user_id % 20 AS last, 1 + event_id % (1 + user_id % 20) AS page FROM events)")
+def pager_window(spark, d):
+    """pg_window: buttons around a page"""
+    last = 1 + F.col("user_id") % 20
+    return X.raw(spark, d, "events").select(F.col("event_id").alias("id"), last.alias("last"), F.array_join(S.pager_column(1 + F.col("event_id") % last, last), " ").alias("buttons"))
+
+
+@register("SELECT s_name AS host, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['disallow', 'disallow', 'allow', 'delay'] ELSE ['disallow', 'delay'] END) AS kind, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['/own' || s_suppkey, '/x', '/own' || s_suppkey || '/ok', NULL] ELSE ['/all', NULL] END) AS pattern, unnest(CASE WHEN s_suppkey % 2 = 0 THEN [-1, -1, -1, s_suppkey * 250] ELSE [-1, 2000] END) AS delay_ms FROM supplier WHERE s_suppkey % 5 <> 0")
+def robots_rules(spark, d):
+    """src_robots, fn_robots_parse, fn_robots_group, fn_robots_delay: even hosts have a group of ours, every fifth no file"""
+    key = F.col("s_suppkey")
+    ours = F.concat(F.lit("User-agent: other\nUser-Agent: SearchEngine # us\nDisallow: /own"), key.cast("string"), F.lit("\nDisallow:\nDisallow: /x\nAllow: /own"), key.cast("string"), F.lit("/ok\nCrawl-delay: 9\nCrawl-delay: "), (key / 4).cast("string"), F.lit("\n"))
+    body = F.when(key % 5 != 0, F.concat(F.when(key % 2 == 0, ours).otherwise(""), F.lit("junk\nUser-agent: *\nDisallow: /all\nCrawl-delay: 2")))
+    return R.rules(X.raw(spark, d, "supplier").select(F.col("s_name").alias("host"), body.alias("body")), "searchenginebot").withColumn("delay_ms", F.coalesce("delay_ms", F.lit(-1).cast("long")))
+
+
+@register(Q.q(Q.DOMAINS, "SELECT id, name, CASE WHEN name = 'src1' THEN 'paused' ELSE status END AS status, CASE WHEN name = 'src1' THEN 7 ELSE 10 END AS max_depth FROM doms WHERE name IN ('src0', 'src1', 'src2') OR name NOT IN ('src3', 'src4')"))
+def domain_update(spark, d):
+    """dml_domain_update, val_request, flt_in, flt_notin"""
+    rows = X.domains(spark, d).withColumn("max_depth", F.lit(10)).where(F.col("name").isin("src0", "src1", "src2") | ~F.col("name").isin("src3", "src4"))
+    return A.edit_domain(rows, "src1", status="paused", max_depth=7).select("id", "name", "status", "max_depth")
+
+
+@register("SELECT page_id, substr('{\"Content-Type\":\"text/html\",\"X-Url\":\"' || url || ', ' || repeat('y', CAST(page_id % 3 * 3000 AS INT)) || '\"}', 1, 4000) AS headers FROM pages")
+def headers_json(spark, d):
+    """src_headers: values joined, 4,000 characters"""
+    values = F.create_map(F.lit("Content-Type"), F.array(F.lit("text/html")), F.lit("X-Url"), F.array(F.col("url"), F.repeat(F.lit("y"), (F.col("page_id") % 3 * 3000).cast("int"))))
+    return X.raw(spark, d, "pages").select("page_id", fetch.headers_json(values).alias("headers"))
+
+
+@register(Q.q(Q.PAGES, "c AS (SELECT count(*) FILTER (crawled_at <= TIMESTAMP '2024-01-01') AS a, count(*) FILTER (crawled_at <= TIMESTAMP '2024-01-02') AS b FROM web)", "SELECT a, b, (b - a) / 1440.0 AS per_minute, (1000000 - b) / ((b - a) / 1440.0) AS minutes_left FROM c"))
+def throughput(spark, d):
+    """agg_throughput: two looks a day apart"""
+    return A.throughput(X.web_pages(spark, d), "crawled_at", X.now("2024-01-01 00:00:00"), X.now("2024-01-02 00:00:00"))
+
+
 # ------------------------------------------------------------------ streaming
 
 @register(None)

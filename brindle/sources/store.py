@@ -22,6 +22,7 @@ SCHEMAS = {
     "crawl_logs": "url string, domain string, page_hash string, status int, response_time_ms long, error_message string, crawled_at timestamp_ntz",
     "search_logs": "query string, results_count long, response_time_ms long, ip string, user_agent string, searched_at timestamp_ntz",
     "products": "id long, name string, name_normalized string, image_url string",
+    "sightings": "product_id long, url_hash string, name string, name_normalized string, image_url string, domain string, price long, currency string, availability string, product_url string, extracted_at timestamp_ntz",
     "prices": "product_id long, url_hash string, domain string, price long, currency string, availability string, product_url string, extracted_at timestamp_ntz",
     "price_history": "product_id long, url_hash string, price long, recorded_at timestamp_ntz",
     "postings": "token string, id string, tf long, positions array<int>",
@@ -73,8 +74,11 @@ class Store:
             return rows.drop("batch")
         return keep_latest(rows, KEYS[name], ["batch"]).where(~F.col("deleted")).drop("batch", "deleted").select(*self.columns(name))
 
+    def none(self, name: str) -> DataFrame:
+        return self.spark.createDataFrame([], SCHEMAS[name])
+
     def columns(self, name: str) -> list[str]:
-        return self.spark.createDataFrame([], SCHEMAS[name]).columns
+        return self.none(name).columns
 
     def _write(self, name: str, rows: DataFrame, marker: str) -> int:
         number = max(self._folders(name), default=0) + 1
@@ -83,7 +87,7 @@ class Store:
         return number
 
     def _shaped(self, name: str, rows: DataFrame, deleted: bool) -> DataFrame:
-        kinds = dict(self.spark.createDataFrame([], SCHEMAS[name]).dtypes)
+        kinds = dict(self.none(name).dtypes)
         cells = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in self.columns(name)]
         return rows.select(*cells, *([F.lit(deleted).alias("deleted")] if name in KEYS else []))
 

@@ -32,12 +32,12 @@ AGENT, MOST_ATTEMPTS, BATCH = "searchenginebot", 3, 10
 
 
 class Crawler:
-    def __init__(self, store: Store, *, agent: str = AGENT, get: Callable = urllib.request.urlopen, clock: Callable[[], dt.datetime] | None = None, delay_ms: int = FR.DELAY_MS, partitions: int = 15, changed: Callable[[], None] = lambda: None):
-        """get opens a request; clock gives the instant that counts as now (UTC); changed is called after pages or domains
+    def __init__(self, store: Store, *, agent: str = AGENT, get: Callable = urllib.request.urlopen, clock: Callable[[], dt.datetime] | None = None, delay_ms: int = FR.DELAY_MS, partitions: int = 15, changed: Callable[[], None] = lambda: None, pages: DataFrame | None = None):
+        """get opens a request, unless stored pages (url, html) are to be replayed instead; clock gives the instant that counts as now (UTC); changed is called after pages or domains
         change, so that result caches can be dropped."""
         self.store, self.spark, self.agent, self.get = store, store.spark, agent, get
         self.clock = clock or (lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None))
-        self.delay_ms, self.partitions, self.changed = delay_ms, partitions, changed
+        self.delay_ms, self.partitions, self.changed, self.pages = delay_ms, partitions, changed, pages
         reachable(self.spark)
 
     def now(self) -> Column:
@@ -55,9 +55,12 @@ class Crawler:
         """Domains of these URLs, if new, and the URLs themselves at depth 0; how many URLs were queued."""
         if any(not u or len(u) > 500 for u in urls):
             raise ValueError("a URL has 1 to 500 characters")
-        rows = self.spark.createDataFrame([(u,) for u in urls], "url string")
-        self._add_domains(rows)
-        return self.enqueue(rows.select("url", F.lit(0).alias("depth"), F.lit(priority).alias("priority"))).count()
+        return self.add_all(self.spark.createDataFrame([(u,) for u in urls], "url string"), priority)
+
+    def add_all(self, urls: DataFrame, priority: int = FR.ADDED) -> int:
+        """add for a table of URLs (url)."""
+        self._add_domains(urls)
+        return self.enqueue(urls.select("url", F.lit(0).alias("depth"), F.lit(priority).alias("priority"))).count()
 
     def _add_domains(self, urls: DataFrame) -> None:
         known = self.store.read("domains").select("name", "base_url", "max_depth", "crawl_delay_ms", "status")
@@ -79,6 +82,8 @@ class Crawler:
     # ------------------------------------------------------------------ fetching
 
     def _fetch(self, urls: DataFrame, **options) -> DataFrame:
+        if self.pages is not None:
+            return fetch.replay(urls, self.pages)
         return fetch.fetch(urls, agent=self.agent, delay_ms=self.delay_ms, partitions=self.partitions, get=self.get, **options)
 
     def _read_robots(self, hosts: DataFrame) -> None:

@@ -646,6 +646,25 @@ def stream_ingest(spark, d):
     return pipelines.latest_pages(spark, f"{root}/pages").select("url", "url_hash", "title", "language", "word_count", "reason")
 
 
+@register(None)
+def crawl_round(spark, d):
+    """st_fused_pipe, st_run_n, dml_claim, st_prepare, snk_log, snk_page, st_price: all pages queued, one batch crawled from
+    stored pages; the queue afterwards"""
+    import datetime as dt
+    import uuid
+
+    from ..crawler import Crawler
+    from ..sources.store import Store
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="brindle-")).as_uri()
+    pages = X.raw(spark, d, "pages").select("url", "html")
+    store = Store(spark, f"{root.rstrip('/')}/crawl-{uuid.uuid4().hex}")
+    crawler = Crawler(store, pages=pages, clock=lambda: dt.datetime(2024, 2, 5))
+    crawler.add_all(pages.select("url"))
+    crawler.work(50)
+    return store.read("queue").select("url_hash", "url", "host", "depth", "priority", "status", "attempts")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

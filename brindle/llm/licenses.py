@@ -14,6 +14,8 @@ from .license_rules import rules
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+#: Marks around a match; words hold neither.
+OPEN, CLOSE = "\x01", "\x02"
 #: What a detection of each priority counts as evidence; a base phrase counts as the highest.
 TRUST = (0.3, 0.5, 0.8, 0.95)
 
@@ -29,30 +31,49 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" ")))
 
 
-def _places(norm: Column, regex: Column) -> Column:
-    """(start, end) in words of all matches. norm is ' w0 w1 ... ', so spaces before a match count the words before it."""
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + _spaces(x["gap"])
-        after = at + F.coalesce(_spaces(x["hit"]), F.lit(0))
-        return F.struct(after.alias("at"), F.when(x["hit"].isNull(), s["out"]).otherwise(F.array_append(s["out"], F.struct(at.alias("start"), after.alias("end")))).alias("out"))
 
-    pairs = F.zip_with(F.split(norm, regex, -1), F.regexp_extract_all(norm, regex, F.lit(0)), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+def _places(norm: Column, regex: Column) -> Column:
+    """(start, end) in words of all matches, which regex holds as its first group. norm is ' w0 w1 ... '; a mark that no
+    word can hold goes before the first and after the last word of a match, and marked words are found by position."""
+    words = F.split(F.regexp_replace(norm, regex, F.lit(f" {OPEN}$1{CLOSE}")), " ", -1)
+    at = lambda ws, test: F.filter(F.transform(ws, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
+    pairs = lambda ws: F.zip_with(at(ws, lambda w: w.startswith(OPEN)), at(ws, lambda w: w.endswith(CLOSE)), lambda a, b: F.struct((a - 1).alias("start"), b.alias("end")))
+    return _let(words, pairs)
 
 
 def _detections(norm: Column) -> Column:
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(rank).alias("rank"), F.lit(key).alias("key"), F.lit(f" (?:{regex})(?= )").alias("regex")) for label, rank, key, regex in rules()])
+    """All places of all rules, distinct, in order of start."""
+    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(rank).alias("rank"), F.lit(key).alias("key"), F.lit(f" ((?:{regex}))(?= )").alias("regex")) for label, rank, key, regex in rules()])
     open_ = F.filter(table, lambda r: F.contains(norm, r["key"]))
     found = F.flatten(F.transform(open_, lambda r: F.transform(_places(norm, r["regex"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["rank"].alias("rank"), r["label"].alias("label")))))
-    return F.array_distinct(found)
+    return _let(F.sort_array(found), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
+
+
+def _reach(s: Column, most: Column) -> Column:
+    """The smallest power of two k for which detections k places apart start more than `most` words apart."""
+
+    def step(k: Column, j: Column) -> Column:
+        near = lambda i: F.get(s, i)["start"] - F.get(s, i - j)["start"] <= most
+        return F.when(k > 0, k).when((j >= F.size(s)) | ~F.exists(F.sequence(j, F.greatest(j, F.size(s) - 1)), near), j).otherwise(0)
+
+    return F.aggregate(F.array(*[F.lit(1 << j) for j in range(31)]), F.lit(0), step)
 
 
 def _surviving(found: Column) -> Column:
-    """Without what lies within another detection of higher rank, or of the same rank and longer."""
+    """Without what lies within another detection of higher rank, or of the same rank and longer.
+
+    found is in order of start. No detection is longer than the longest, so that what contains x starts at most that many
+    words before x: each detection is compared with those within _reach, which depends on how densely rules match and
+    not on the text's length."""
     covers = lambda y, x: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((y["rank"] > x["rank"]) | ((y["rank"] == x["rank"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: covers(y, x)))
+    near = lambda s, k, i: F.slice(s, F.greatest(i + 1 - k, F.lit(1)), 2 * k + 1)
+    within = lambda s, k: F.filter(s, lambda x, i: ~F.exists(near(s, k, i), lambda y: covers(y, x)))
+    longest = lambda s: F.array_max(F.transform(s, lambda x: x["end"] - x["start"]))
+    return _let(found, lambda s: _let(_let(longest(s), lambda most: _reach(s, most)), lambda k: within(s, k)))
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,8 +87,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     the best evidence, 0 without any.
 
     All of it is one projection: no shuffle, so neither hot sources nor copies matter, and null or repeated ids, ties
-    and repeated rows are each judged by themselves. Suppression compares the detections of one text with each other.
-    Empty tables give empty results; other columns are ignored.
+    and repeated rows are each judged by themselves. Work grows with a text's length, not with the square of its
+    detections. Empty tables give empty results; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.btrim(F.regexp_replace(lower_ascii(text), GAP, " "))

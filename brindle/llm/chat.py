@@ -11,14 +11,23 @@ ROLES = ("system", "user", "assistant", "tool")
 
 
 def _chain(turns: Column) -> Column:
-    """Rolling hashes: the i-th covers the roles and texts of turns 1 to i. Lengths keep the fields apart."""
+    """Rolling hashes: the i-th covers the roles and texts of turns 1 to i. Lengths keep the fields apart.
+
+    A fold copies what it has gathered at each step, so turns are folded in chunks of about the root of their number."""
 
     def step(acc: Column, t: Column) -> Column:
         field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
         link = F.md5(F.concat(acc["last"], field(t["role"]), F.lit("|"), field(t["text"])))
         return F.struct(link.alias("last"), F.array_append(acc["all"], link).alias("all"))
 
-    return F.aggregate(turns, F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")), step, lambda acc: acc["all"])
+    def add(acc: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(acc["last"].alias("last"), F.array().cast("array<string>").alias("all")), step)
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["last"].alias("last"), F.array_append(acc["all"], x["all"]).alias("all"))), F.lit(0))
+
+    width = F.ceil(F.sqrt(F.size(turns))).cast("int")
+    chunks = F.transform(F.sequence(F.lit(1), F.size(turns), width), lambda at: F.slice(turns, at, width))
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<array<string>>").alias("all"))
+    return F.flatten(F.aggregate(chunks, start, add, lambda acc: acc["all"]))
 
 
 def render(turns: Column, begin: str = "<|im_start|>", end: str = "<|im_end|>") -> Column:

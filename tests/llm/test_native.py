@@ -1,6 +1,7 @@
 """URL filters, line dedup, mixing, license scans and chat formatting against SQL or brute force, and odd inputs."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -119,6 +120,9 @@ def brute_licenses(text):
 def test_licenses(spark, sf):
     odd = [None, "", "...", "MIT License mit license", "é CC-BY\n4.0", "GNU General Public License, version 3 or (at your option) any later version", "ccby cc bye", "Licensed under the Apache License, Version 2.0 " * 50, "x " * 100_000 + "mit license", "gnu general public licenses", "Alle Rechte vorbehalten. All rights reserved.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "CC BY-NC-SA 4.0 International"]
     rows = [(i, t, "s") for i, t in enumerate(odd)] + [(0, None, "s")]
+    rng = random.Random(8)
+    parts = ["under the Apache License, Version 2.0", "GNU General Public License version 3 or later", "MIT License", "CC BY 4.0", "cc by sa", "some other words", "GPL", "all rights reserved", "copyright 2020"]
+    rows += [(500, " ".join(rng.choice(parts) for _ in range(700)), "s"), (501, "MIT License " * 400, "s")]
     rows += [(1000 + r["doc_id"], r["text"], "s") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = licenses.scan_licenses(docs(spark, rows))
     text = defaultdict(list)
@@ -144,6 +148,27 @@ def test_chat_odd(spark):
     assert chat.format_chats(spark.createDataFrame([], kind)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 17, 1000])
+def test_chain(spark, n):
+    turns = [("user", f"t{i}") if i % 3 else (None, "é" * i) for i in range(n)]
+    last, want = "", []
+    for role, text in turns:
+        last = hashlib.md5((last + "|".join("-" if x is None else f"{len(x)}:{x}" for x in (role, text))).encode()).hexdigest()
+        want.append(last)
+    frame = spark.createDataFrame([(turns,)], "turns array<struct<role:string,text:string>>")
+    assert frame.select(chat._chain(F.col("turns"))).first()[0] == want
+
+
+def test_long_inputs_take_no_quadratic_work(spark, tmp_path):
+    """Sizes at which work that grows with the square of a text's detections, or of a conversation's turns, takes minutes."""
+    text = F.expr("repeat('Licensed under the Apache License, Version 2.0 see the MIT license ', 10000)")
+    spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/text")
+    r = licenses.scan_licenses(spark.read.parquet(f"{tmp_path}/text")).first()
+    assert (r["n_words"], r["n_base"], r["labels"], len(r["detections"])) == (120_000, 20_000, "apache,apache-2.0,mit", 20_000)
+    spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text")).write.parquet(f"{tmp_path}/turns")
+    assert [r["n_turns"] for r in chat.format_chats(spark.read.parquet(f"{tmp_path}/turns")).collect()] == [20_000]
+
+
 def test_digest_columns(spark, sf):
     r = entry.op3_line_dedup(spark, sf).first()
     assert len(r["kept_sha256"]) == len(hashlib.sha256(b"").hexdigest())

@@ -26,7 +26,7 @@ SKETCH_BITS, BLOCK_BITS = 22, 16
 #: IDF is kept in so many steps, and lies between 1 and 1 + DAMP: copies raise the frequency of their own shingles, so
 #: that an undamped IDF would make the members of a large group look less alike than those of a small one.
 STEPS, DAMP = 16, 0.25
-#: Logarithms of term frequencies up to this come from a table.
+#: Logarithms of term frequencies below this come from a table, the others' are computed.
 TF_TABLE = 1024
 #: Text ids that are broadcast at most (8 bytes each) to fetch the texts of candidate pairs.
 MOST_BROADCAST = 4_000_000
@@ -39,12 +39,20 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**63, (64, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: 2^16 draws of consistent weighted sampling: r and c from Gamma(2, 1), b uniform. A shingle's draw for a sample is
-#: picked by 16 bits of its hash; shingles that share one draw are told apart by their hashes.
-_R = _rng.gamma(2, 1, 1 << 16).astype(np.float32)
-_B = _rng.random(1 << 16).astype(np.float32)
-_BASE = (np.log(_rng.gamma(2, 1, 1 << 16)) - _R).astype(np.float32)
-_INV = (1 / _R).astype(np.float32)
+#: Draws of consistent weighted sampling: r and c from Gamma(2, 1), b uniform. A shingle's draw for a sample is picked by
+#: 16 bits of its hash; shingles that share one draw are told apart by their hashes. Draws are in order of their value a at
+#: weight 1, which is exponential, and spread evenly over its quantiles; given a, c is a + Exp(1), with e = log(c / a) r is
+#: e + Exp(1), and b is 1 - e / r. The least FINE of the first 2^16 are replaced by 2^16 further ones, picked by 16 other
+#: bits: the least values decide where one text has many shingles and large frequencies.
+DRAWS, FINE = 1 << 16, 256
+_AT = (np.arange(DRAWS) + 0.5) / DRAWS
+_A = -np.log1p(-np.concatenate([_AT, _AT * FINE / DRAWS]))
+_C = _A + _rng.exponential(size=2 * DRAWS)
+_E = np.log(_C / _A)
+_R = _E + _rng.exponential(size=2 * DRAWS)
+_B = (1 - _E / _R).astype(np.float32)
+_BASE = (np.log(_C) - _R).astype(np.float32)
+_INV, _R = (1 / _R).astype(np.float32), _R.astype(np.float32)
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[48:58], _FOLD[97:123], _FOLD[65:91], _FOLD[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 
@@ -187,7 +195,7 @@ def _keys(draw: np.ndarray, log_w: np.ndarray) -> np.ndarray:
 
 
 #: The keys of all draws for each step of IDF, at term frequency 1.
-_TABLE = np.concatenate([_keys(np.arange(1 << 16), np.full(1 << 16, x, np.float32)) for x in _LOG_IDF])
+_TABLE = np.concatenate([_keys(np.arange(2 * DRAWS), np.full(2 * DRAWS, x, np.float32)) for x in _LOG_IDF])
 
 
 def samples(s: Shingles, steps: np.ndarray) -> np.ndarray:
@@ -204,13 +212,19 @@ def samples(s: Shingles, steps: np.ndarray) -> np.ndarray:
         if hi > lo:
             h = s.hash[lo:hi]
             step = _steps(Shingles(h, *[None] * 3), steps)
-            row, own = step.astype(np.uint64) << np.uint64(16), h & np.uint64(0xFFFFFFFF)
+            row, own = step.astype(np.uint64) << np.uint64(17), h & np.uint64(0xFFFFFFFF)
             many = np.flatnonzero(s.tf[lo:hi] > 1)
-            log_w = _LOG_IDF[step[many]] + _LOG_TF[np.minimum(s.tf[lo:hi][many], TF_TABLE - 1)]
+            tf = s.tf[lo:hi][many]
+            log_tf = _LOG_TF[np.minimum(tf, TF_TABLE - 1)]
+            log_tf[tf >= TF_TABLE] = np.log(tf[tf >= TF_TABLE])
+            log_w = _LOG_IDF[step[many]] + log_tf
             has = np.flatnonzero(np.diff(s.starts[a : b + 1]) > 0)
             starts = s.starts[a : b + 1][has] - lo
             for k in range(SAMPLES):
-                draw = (h * _TURN[k]) >> np.uint64(48)
+                turned = h * _TURN[k]
+                draw = turned >> np.uint64(48)
+                fine = np.flatnonzero(draw < FINE)
+                draw[fine] = np.uint64(DRAWS) | ((turned[fine] >> np.uint64(32)) & np.uint64(DRAWS - 1))
                 key = _TABLE.take((draw | row).view(np.int64))
                 if len(many):
                     key[many] = _keys(draw[many].view(np.int64), log_w)

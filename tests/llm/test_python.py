@@ -125,6 +125,19 @@ def test_samples_estimate_similarity():
     assert abs((got[:, 0] == got[:, 1]).mean() - true) < 4 * np.sqrt(true * (1 - true) / neardup.SAMPLES)
 
 
+def test_samples_estimate_similarity_of_large_frequencies():
+    alone = np.random.default_rng(3).integers(1, 2**63, 3000).astype(np.uint64)
+    parts = [np.sort(np.append(alone[x], np.uint64(1 << 40))) for x in (slice(0, 1500), slice(1500, 3000))]
+    tf = [np.where(p == np.uint64(1 << 40), 20_000, 1) for p in parts]
+    n = len(parts[0])
+    s = neardup.Shingles(np.concatenate(parts), np.concatenate(tf), np.repeat([0, 1], n), np.array([0, n, 2 * n]))
+    steps = np.full(1 << neardup.SKETCH_BITS, 7, np.uint8)
+    got = neardup.samples(s, steps)
+    one, two = (neardup.Shingles(h, f, np.zeros(n, int), np.array([0, n])) for h, f in zip(parts, tf, strict=True))
+    true = neardup.similarities(one, two, steps)[0][0]
+    assert true > 0.85 and abs((got[:, 0] == got[:, 1]).mean() - true) < 4 * np.sqrt(true * (1 - true) / neardup.SAMPLES)
+
+
 # ------------------------------------------------------------------ nearest neighbours
 
 def test_nearest(spark, sf):

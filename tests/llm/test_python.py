@@ -113,6 +113,28 @@ def test_near_duplicates_odd(spark):
     assert neardup.classes(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_by_repeats(spark):
+    """Texts written once, two and three times, and with a passage repeated: alike by plain similarity alone."""
+    rng = random.Random(7)
+    texts = {}
+    for k in range(16):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+        for n in (1, 2, 3):
+            texts[10 * k + n] = " ".join(w * n)
+        texts[10 * k + 4] = " ".join(w[:60] + w[40:60] * 30 + w[60:])
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts) == {i: i // 10 * 10 + 1 for i in texts}
+
+
+def test_plain_samples_estimate_similarity():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 2**64, (20, 1800), dtype=np.uint64)
+    parts = [np.sort(x) for w in words for x in (w[:1650], w[150:])]
+    s = neardup.Shingles(np.concatenate(parts), rng.integers(1, 50, 40 * 1650), np.repeat(np.arange(40), 1650), np.arange(41) * 1650)
+    got, true = neardup.plain_samples(s), 1500 / 1800
+    assert abs((got[:, ::2] == got[:, 1::2]).mean() - true) < 4 * np.sqrt(true * (1 - true) / (20 * neardup.SAMPLES))
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in rng.integers(0, 10**9, 2000)]

@@ -448,15 +448,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     if more.limit(1).count():
         links = stored(links.unionByName(_links(more, texts, steps, threshold).select("a", "b")), "nd-links")
         same = components(links)
-        rest = stored(_open(shared, same), "nd-open")
-        if rest.limit(1).count():
-            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            rest = rest.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-            own = _texts(rest.select("node").distinct(), texts).join(exact.select("node", "bands", "print").dropDuplicates(["node"]), "node")
-            rest = rest.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")).select("bucket", "band", "node", "component", "blk", F.least("blk", "with").alias("p"), F.greatest("blk", "with").alias("q"))
-            rest = rest.join(own, "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "blk", "node")
-            links = stored(links.unionByName(rest.mapInArrow(_across(steps, threshold), "a long, b long")), "nd-links")
-            same = components(links)
+        open_ = _open(shared, same)
+    # Open buckets are compared whether or not their second leaders gave pairs: a leader may be the first one again.
+    rest = stored(open_, "nd-open")
+    if rest.limit(1).count():
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rest = rest.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        own = _texts(rest.select("node").distinct(), texts).join(exact.select("node", "bands", "print").dropDuplicates(["node"]), "node")
+        rest = rest.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")).select("bucket", "band", "node", "component", "blk", F.least("blk", "with").alias("p"), F.greatest("blk", "with").alias("q"))
+        rest = rest.join(own, "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "blk", "node")
+        links = stored(links.unionByName(rest.mapInArrow(_across(steps, threshold), "a long, b long")), "nd-links")
+        same = components(links)
     members = exact.select("t1", "t2", "node", "n").join(same, "node", "left").select("t1", "t2", "node", "n", F.coalesce("component", "node").alias("class_id"))
     return rows, marks, stored(members, "nd-members")
 

@@ -126,6 +126,30 @@ def test_near_duplicates_by_repeats(spark):
     assert got == brute_classes(texts) == {i: i // 10 * 10 + 1 for i in texts}
 
 
+def test_near_duplicates_of_a_bucket_led_twice(spark, monkeypatch):
+    """A leads its bucket by copies and by hash, and is like neither B nor C, which are alike."""
+    bands, samples = 2 * neardup.BANDS, 2 * neardup.SAMPLES
+
+    def one_bucket(steps):
+        def run(batches):
+            import pyarrow as pa
+
+            for x in batches:
+                lists = pa.array([[7, *[1000 * (node + 1) + k for k in range(1, bands)]] for node in x["node"].to_pylist()], pa.list_(pa.int64()))
+                prints = pa.array([bytes(samples)] * x.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([x["node"], x["t1"], x["t2"], lists, prints], ["node", "t1", "t2", "bands", "print"])
+
+        return run
+
+    monkeypatch.setattr(neardup, "_signatures", one_bucket)
+    order = [r["node"] for r in spark.sql("SELECT id AS node FROM range(1, 4) ORDER BY xxhash64(7L, id)").collect()]
+    a, b, c = order[0], *sorted(order[1:])
+    own = " ".join(f"w{i}" for i in range(200))
+    rows = [(a, "quite another text of some words"), (a, "quite another text of some words"), (b, own), (c, own + " end")]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, rows)).collect()}
+    assert got == {a: a, b: b, c: b}
+
+
 def test_plain_samples_estimate_similarity():
     rng = np.random.default_rng(6)
     words = rng.integers(0, 2**64, (20, 1800), dtype=np.uint64)

@@ -168,12 +168,19 @@ def infer(model: Model, data: np.ndarray, ends: np.ndarray, *, rounds: int = 6,
     return share, seen
 
 
+def _padded(texts: pa.Array) -> pa.Array:
+    """A text of one byte has no n-gram: it gets a space at both ends. All others stay."""
+    space, none = pa.scalar(b" ", texts.type), pa.scalar(b"", texts.type)
+    return pc.if_else(pc.equal(pc.binary_length(texts), 1), pc.binary_join_element_wise(space, texts, space, none), texts)
+
+
 def _predictor(model: Model, text: str | None = None):
     """text: the field of _row that has the text; else it is a column of its own."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values = batch if text is None else pa.RecordBatch.from_arrays([pc.fill_null(pc.struct_field(batch["_row"], text), "").cast(pa.binary())], ["text"])
+            values = pa.RecordBatch.from_arrays([_padded(values["text"])], ["text"])
             share, seen = infer(model, *_bytes(values, "text"))
             ok = seen & batch["letters"].to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
             top = share.argmax(1) if model.languages else np.zeros(len(share), int)
@@ -204,9 +211,12 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text is in no language (null, without a letter). All columns stay."""
+    """docs without the rows whose text is in no language (null, without a letter), also where nothing was learned. All
+    columns stay."""
     rows, unpack = packed(docs)
     at = f"_in{docs.columns.index(text_col)}"
+    if not model.languages:
+        return unpack(rows.where(_letters(F.col("_row")[at])))
     kind = rows.select("_row").schema[0].dataType.simpleString()
     out = rows.select("_row", _letters(F.col("_row")[at])).mapInArrow(_predictor(model, at), f"_row {kind}, lang_pred string, score double, mixture string")
     return unpack(out.where(F.col("lang_pred") != "und").select("_row"))

@@ -254,6 +254,15 @@ def test_language_odd(spark, sf):
     assert kept.columns == docs(spark, rows).columns and kept.count() == 3
 
 
+def test_every_text_with_a_letter_is_kept(spark, sf):
+    model = entry.language_model(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = [(1, "a"), (2, "Z"), (3, "7"), (4, " "), (5, None), (6, "é"), (7, ""), (8, "the of")]
+    got = {r["doc_id"] for r in langid.predict(docs(spark, rows), model).collect() if r["lang_pred"] in model.languages and r["score"] > 0}
+    assert got == {1, 2, 6, 8}
+    for m in (model, langid.fit(docs(spark, []))):
+        assert {r["doc_id"] for r in langid.keep_known(docs(spark, rows), m).collect()} == {1, 2, 6, 8}
+
+
 def test_windows_change_nothing(monkeypatch):
     rng = np.random.default_rng(4)
     texts = [bytes(rng.integers(60, 130, n).tolist()) for n in (0, 5, 1, 2, 300, 0, 7, 64, 0)]

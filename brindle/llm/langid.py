@@ -125,10 +125,10 @@ def _likelihood(p: np.ndarray, n: np.ndarray, starts: np.ndarray, of: np.ndarray
     return np.add.reduceat((n * np.log(np.maximum(np.einsum("ij,ij->i", p, pi[of]), np.float32(1e-20)))).astype(np.float64), starts)
 
 
-def infer(model: Model, data: np.ndarray, ends: np.ndarray, *, rounds: int = 6, most: int = 3, least: float = 0.02, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+def infer(model: Model, data: np.ndarray, ends: np.ndarray, *, rounds: int = 6, least: float = 0.02, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """For each text: proportions (texts x languages, 0 outside the chosen set), and whether it has n-grams. The largest
-    proportions of a fit over all languages name nested sets of 1 to `most` languages; languages below `least` join no
-    set. Each set is fitted anew, and the set with the best penalised likelihood, `penalty` * log(n-grams) a language, is
+    proportions of a fit over all languages name nested sets of one language and more; languages below `least` join no
+    set, so that there are 1 / `least` sets at most. Each set is fitted anew, and the set with the best penalised likelihood, `penalty` * log(n-grams) a language, is
     chosen."""
     texts, langs = len(ends) - 1, len(model.languages)
     share, seen = np.zeros((texts, langs), np.float32), np.zeros(texts, bool)
@@ -150,7 +150,7 @@ def infer(model: Model, data: np.ndarray, ends: np.ndarray, *, rounds: int = 6,
             choice = np.zeros_like(pi)
             np.put_along_axis(choice, order[:, :1], 1, 1)
             best = _likelihood(p, n, starts, of, choice) - cost
-            for k in range(2, min(most, langs) + 1):
+            for k in range(2, langs + 1):
                 wide = np.flatnonzero(np.take_along_axis(pi, order[:, k - 1 : k], 1)[:, 0] >= least)
                 if not len(wide):
                     break

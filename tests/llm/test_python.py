@@ -287,6 +287,19 @@ def test_mixture():
     assert seen.all() and share[0].tolist() == [1, 0, 0] and share[1, 1] == 0 and abs(share[1, 0] - 0.7) < 0.1
 
 
+def test_mixture_of_many_languages():
+    rng = np.random.default_rng(9)
+    words = [[bytes(rng.integers(97, 123, 5).tolist()) for _ in range(50)] for _ in range(7)]
+    say = lambda k, n: b" ".join(words[k][i] for i in rng.integers(0, 50, n))
+    counts = np.stack([langid.gram_table(np.frombuffer(t, np.uint8), np.array([0, len(t)]), np.zeros(1, int), 1) for t in (say(k, 3000) for k in range(7))], 1) + 0.5
+    p = counts / counts.sum(0)
+    model = langid.Model(list("abcdefg"), np.maximum(p / p.max(1, keepdims=True), 1e-9).astype(np.float32))
+    texts = [b" ".join(say(k, 60) for k in some) for some in ((0, 2, 3, 5), (1, 2, 3, 4, 6))]
+    share, _ = langid.infer(model, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [np.flatnonzero(x).tolist() for x in share] == [[0, 2, 3, 5], [1, 2, 3, 4, 6]]
+    assert abs(share[0, [0, 2, 3, 5]] - 1 / 4).max() < 0.05 and abs(share[1, [1, 2, 3, 4, 6]] - 1 / 5).max() < 0.05
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline(spark, sf):

@@ -48,7 +48,7 @@ x11|2|x consortium|x consortium license
 isc|3|permission to use copy modify and or distribute|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc|2|isc license|(?:the )?isc license
 bsd-4-clause|3|advertising materials mentioning|all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment
-bsd-3-clause|3|neither the name|neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products
+bsd-3-clause|3|neither the name|neither the name of (?:(?!nor the names of its contributors may |neither the name |may be used )[^ ]+ )++nor the names of its contributors may be used to endorse or promote products
 bsd|2|redistribution and use in source and binary forms|redistribution and use in source and binary forms with or without modification are permitted
 bsd-0-clause|3|zero clause bsd|zero clause bsd(?: license)?
 bsd-0-clause|3|0bsd|0bsd
@@ -107,7 +107,7 @@ php|2|php license|(?:the )?php license(?: version 3 0\d?)?
 ruby|2|ruby license|(?:the )?ruby license
 openssl|2|openssl license|(?:the )?openssl license
 ssleay|2|ssleay license|(?:the )?(?:original )?ssleay license
-postgresql|2|postgresql license|(?:the )?postgresql licen[cs]e
+postgresql|2|postgresql licen|(?:the )?postgresql licen[cs]e
 curl|2|curl license|(?:the )?curl license
 ncsa|2|university of illinois|university of illinois ncsa open source license
 ncsa|2|ncsa open source license|ncsa open source license
@@ -142,7 +142,9 @@ commons-clause|2|commons clause|commons clause(?: license condition)?
 polyform|2|polyform|polyform (?:noncommercial|strict|shield|small business|internal use|perimeter) license
 confluent|2|confluent community license|confluent community license
 rail|2|responsible ai license|(?:open ?)?rail responsible ai license
-openrail-m|2|openrail|(?:creativeml|bigscience|bigcode) open ?rail ?m(?: license)?
+openrail-m|2|creativeml open|creativeml open ?rail ?m(?: license)?
+openrail-m|2|bigscience open|bigscience open ?rail ?m(?: license)?
+openrail-m|2|bigcode open|bigcode open ?rail ?m(?: license)?
 llama|2|llama|llama (?:2 |3 )?community license(?: agreement)?
 gemma|2|gemma terms of use|gemma terms of use
 cc0|3|cc0|cc0 1 0 universal
@@ -176,7 +178,7 @@ copyright|0|copyright|copyright(?: c)? \d{4}
 copyright|0|copyright|copyright by
 spdx|0|spdx license identifier|spdx license identifier
 license|0|licensed under|licensed under the terms
-license|0|see license|see (?:the )?license (?:file )?for details
+license|0|see license|see license (?:file )?for details
 license|0|see the license|see the license (?:file )?for details
 license|0|see the file license|see the file license
 """

@@ -139,6 +139,55 @@ def test_rules():
     assert all(any(root in key for root in licenses.roots()) or key.startswith("cc ") for _, _, key, _ in rules)
 
 
+def spelled(regex):
+    """Strings that the regex matches, one for each way through its options and branches; a free stretch is "x"."""
+    from re import _parser as parser
+
+    def walk(items):
+        out = [""]
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                ways = [chr(arg)]
+            elif op == "IN":
+                ways = [chr(v) for k, v in arg if str(k) == "LITERAL"] or (["1"] if "CATEGORY_DIGIT" in str(arg) else ["x"])
+                ways = ["x"] if str(arg[0][0]) == "NEGATE" else ways
+            elif op in ("NOT_LITERAL", "ANY"):
+                ways = ["x"]
+            elif op == "SUBPATTERN":
+                ways = walk(arg[-1])
+            elif op == "BRANCH":
+                ways = [x for branch in arg[1] for x in walk(branch)]
+            elif op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                low, high, inner = arg
+                ways = [x * n for x in walk(inner) for n in {low, 1 if (low, high) == (0, 1) else max(low, 1)}]
+            else:
+                assert op == "ASSERT_NOT", op
+                ways = [""]
+            out = [a + b for a in out for b in dict.fromkeys(ways)]
+        return out
+
+    return [x for x in walk(parser.parse(regex)) if re.fullmatch(regex, x)]
+
+
+def test_keywords_and_roots_pass_all_that_rules_match():
+    roots = licenses.roots()
+    for label, _, key, regex in license_rules.rules():
+        ways = spelled(regex)
+        assert ways and all(key in x for x in ways), (label, key, [x for x in ways if key not in x][:3])
+        assert all(any(r in x for r in roots) or " cc by " in f" {x} " for x in ways), (label, regex)
+
+
+def test_licenses_past_their_keywords(spark):
+    holder = "the Regents of the University of California at Berkeley, the Lawrence Berkeley National Laboratory and the International Computer Science Institute"
+    bsd = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products"
+    texts = ["CreativeML Open RAIL-M", "BigScience OpenRAIL-M License", "the BigCode Open RAIL M", "PostgreSQL Licence", "PostgreSQL License", bsd.format(holder), bsd.format("X"), "Neither the name of Foo may be used. MIT License. " + bsd.format("Bar")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == ["openrail-m"] * 3 + ["postgresql"] * 2 + ["bsd-3-clause"] * 2 + ["bsd-3-clause,mit"]
+    many = [(0, "Neither the name of somebody " * 40_000, "s")]
+    assert licenses.scan_licenses(docs(spark, many)).first()["labels"] == ""
+
+
 def test_chat_odd(spark):
     kind = "conv_id long, turn long, role string, text string, chain string"
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "h"), (4, 1, "user", "i"), (5, 0, None, None), (6, 0, "user", "<|im_end|>"), (6, 0, "user", "<|im_end|>"), (None, None, "user", "lost"), (7, 1, "user", "x" * 100_000)]

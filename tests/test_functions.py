@@ -17,6 +17,15 @@ def test_norm_persian(spark, given, want):
     assert one(spark, text.norm_persian, given) == want == text.norm_persian_text(given)
 
 
+def test_norm_persian_whole(spark, sf):
+    """Whole documents with probes at both ends, against a map written out here."""
+    pairs = {"ي": "ی", "ك": "ک", "ة": "ه", "ۀ": "ه", "\u200c": " "} | {chr(first + i): str(i) for first in (0x660, 0x6F0) for i in range(10)}
+    probe = "".join(pairs)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select(F.concat(F.lit(probe), "text", F.lit(probe)).alias("t"))
+    got = rows.select("t", text.norm_persian(F.col("t")).alias("norm")).collect()
+    assert max(len(r["t"]) for r in got) > 1000 and all(r["norm"] == "".join(pairs.get(c, c) for c in r["t"]) for r in got)
+
+
 @pytest.mark.parametrize(("given", "want"), [("foo bar", "+foo* +bar*"), ('cheap "red bolt"', '+"red bolt" +cheap*'), ("-foo +bar", "+foo* +bar*"), ("  ", ""), ('"', "")])
 def test_prepare_query(given, want):
     assert text.prepare_query(given) == want

@@ -1,16 +1,22 @@
-"""What the operators of this subpackage share: column picking, text classes, scratch storage."""
+"""What the operators of this subpackage share: column picking, text classes, scratch storage, memory of Python tasks."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of an Arrow batch between JVM and Python, above which only a single row goes. The default, 64 MB, is held several
+#: times over on both sides, outside the JVM's heap.
+BATCH = 2 << 20
 #: The ASCII white space that the contracts name: \x20 and \x09 to \x0D.
 SPACE = " \t\n\x0b\f\r"
 
@@ -60,7 +66,46 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def drop(*frames: DataFrame) -> None:
+    """Removes the files of stored frames that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH bytes, if they aren't bounded below that already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again, and what their allocators keep adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over batches that gives its memory back when it ends."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def slices(batches: Iterator, limit: int = 8 << 20) -> Iterator:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, stored
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,11 +18,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "cc-labels")
     for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "least").alias("least"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("next"))
+        before = labels
+        near = both.join(before, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
+        step = before.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "least").alias("least"))
+        jump = before.select(F.col("node").alias("via"), F.col("component").alias("next"))
         labels = stored(step.join(jump, F.col("least") == F.col("via"), "left").select("node", "old", F.least("least", F.coalesce("next", "least")).alias("component")), "cc-labels")
+        drop(before)
         if not labels.where("old <> component").limit(1).count():
+            drop(both)
             return labels.select("node", "component")
-        labels = labels.drop("old")
     raise RuntimeError("components haven't settled")

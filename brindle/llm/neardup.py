@@ -1,4 +1,4 @@
-"""Near duplicates: consistent weighted samples of TF-IDF shingles and plain ones, banded, verified by Jaccard similarity."""
+"""Near duplicates: consistent weighted samples of TF-IDF shingles, banded, verified by weighted Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -8,17 +8,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, pick, slices, stored
+from .common import drop, frugal, packed, pick, slices, small_batches, stored
 from .graph import components
 from .langid import _bytes
 
 #: Words a shingle; similarity from which documents are near duplicates.
 WORDS, SIMILAR = 5, 0.8
-#: Samples are BANDS x ROWS of the weighted shingles, and as many of the plain set; two texts with similarity 0.8 miss each other in all bands in 0.2 % of cases, with 0.85 in 0.003 %.
+#: Samples are BANDS x ROWS; two texts with similarity 0.8 miss each other in all bands in 0.2 % of cases, with 0.85 in 0.003 %.
 BANDS, ROWS = 21, 6
 SAMPLES = BANDS * ROWS
 #: The document-frequency sketch: 2^SKETCH_BITS counters in blocks of 2^BLOCK_BITS, whatever the corpus.
@@ -30,10 +31,11 @@ STEPS, DAMP = 16, 0.25
 TF_TABLE = 1024
 #: Text ids that are broadcast at most (8 bytes each) to fetch the texts of candidate pairs.
 MOST_BROADCAST = 4_000_000
-#: Members of an open bucket that a task holds at once, at most twice over.
-BLOCK = 2048
-#: A pair whose samples, weighted and plain ones, both agree in less than this share is not verified: over five standard deviations below SIMILAR.
-LEAST_AGREE = 0.6
+#: Members of an open bucket, and bytes of their texts, that a task holds at once, at most twice over (a block of a single
+#: text has that text's bytes).
+BLOCK, BLOCK_BYTES = 2048, 2 << 20
+#: Bytes whose words are hashed at once, so that a long text takes little more memory than its words do.
+WINDOW = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**63, (64, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,8 +57,6 @@ _BASE = (np.log(_C) - _R).astype(np.float32)
 _INV, _R = (1 / _R).astype(np.float32), _R.astype(np.float32)
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[48:58], _FOLD[97:123], _FOLD[65:91], _FOLD[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
-#: Turns of the samples of the plain set.
-_TURN_PLAIN = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -74,31 +74,46 @@ class Shingles(NamedTuple):
     starts: np.ndarray
 
 
+def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and the text it is of, a window of the data at a time; a window ends where a word does."""
+    hashes, texts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], 0
+    border = np.zeros(len(data) + 1, bool)
+    border[ends] = True
+    while at < len(data):
+        to = at + WINDOW
+        while to < len(data) and _FOLD[data[to]] and not border[to]:
+            to += 1
+        to = min(to, len(data))
+        x = _FOLD[data[at:to]]
+        inner = x != 0
+        begin = inner.copy()
+        begin[1:] &= ~inner[:-1] | border[at + 1 : to]
+        spot = np.flatnonzero(inner)
+        if len(spot):
+            opens = np.flatnonzero(begin[spot])
+            place = spot - np.repeat(spot[opens], np.diff(np.append(opens, len(spot))))
+            hashes.append(_mix(np.add.reduceat(_BYTE[place & 63, x[spot]] * (np.uint64(1) + (place >> 6).astype(np.uint64)), opens)))
+            texts.append((np.searchsorted(ends, at + spot[opens], "right") - 1).astype(np.int32))
+        at = to
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
 def shingles(data: np.ndarray, ends: np.ndarray) -> Shingles:
     """Words are runs of ASCII letters (case folded), digits and non-ASCII characters; a shingle is WORDS of them in
     order, or all words of a text with fewer."""
     texts = len(ends) - 1
-    x = _FOLD[data]
-    inner = x != 0
-    of_byte = np.repeat(np.arange(texts, dtype=np.int32), np.diff(ends))
-    begin = inner.copy()
-    begin[1:] &= ~inner[:-1] | (of_byte[1:] != of_byte[:-1])
-    first = np.flatnonzero(begin)
-    if not len(first):
+    word_hash, of = _word_hashes(data, ends)
+    if not len(of):
         return Shingles(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(texts + 1, np.int64))
-    at = np.flatnonzero(inner)
-    word = np.cumsum(begin[at]) - 1
-    place = at - first[word]
-    opens = np.searchsorted(at, first)
-    word_hash = _mix(np.add.reduceat(_BYTE[place & 63, x[at]] * (np.uint64(1) + (place >> 6).astype(np.uint64)), opens))
-    of = of_byte[first]
     n = np.bincount(of, minlength=texts)
     offset = np.concatenate([[0], np.cumsum(n)])
     left = offset[of + 1] - np.arange(len(of))  # words from here to the text's end
     total = np.zeros(len(of), np.uint64)
-    padded = np.concatenate([word_hash, np.zeros(WORDS, np.uint64)])
     for i in range(WORDS):
-        total += np.where(left > i, padded[i : i + len(of)], np.uint64(0)) * _PLACE[i]
+        part = np.zeros(len(of), np.uint64)
+        part[: max(len(of) - i, 0)] = word_hash[i:] * _PLACE[i]
+        part[left <= i] = 0
+        total += part
     whole = (left >= WORDS) | ((n[of] < WORDS) & (left == n[of]))
     h, of = _mix(total[whole]), of[whole]
     order = np.lexsort((h, of))
@@ -115,7 +130,7 @@ def shingles(data: np.ndarray, ends: np.ndarray) -> Shingles:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's counters, block by block and compressed; block -1 counts the documents."""
-    table, docs = np.zeros(1 << SKETCH_BITS, np.int64), 0
+    table, docs = np.zeros(1 << SKETCH_BITS, np.uint32), 0  # a task has fewer than 2^32 texts
     for batch in slices(batches, 1 << 20):
         s = shingles(*_bytes(batch, "text"))
         np.add.at(table, (s.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -159,8 +174,8 @@ def idf_steps(texts: DataFrame) -> np.ndarray:
     blocks are added one at a time; the driver gets the sum, 4 MB as steps, whatever the input.
     """
     kind = "block int, counts binary"
-    part = texts.mapInArrow(_sketch, kind)
-    got = part.repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(_add, kind).collect()
+    part = texts.mapInArrow(frugal(_sketch), kind)
+    got = part.repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(frugal(_add), kind).collect()
     table, docs = np.zeros(1 << SKETCH_BITS, np.float64), 1
     for r in got:
         if r["block"] < 0:
@@ -236,49 +251,30 @@ def samples(s: Shingles, steps: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
-def plain_samples(s: Shingles) -> np.ndarray:
-    """SAMPLES hashes of each text: the least of its distinct shingles under as many hashes. Texts without shingles have zeros."""
-    texts = len(s.starts) - 1
-    out = np.zeros((SAMPLES, texts), np.uint64)
-    a = 0
-    while a < texts:
-        b = max(a + 1, int(np.searchsorted(s.starts, s.starts[a] + 16384, "right")) - 1)
-        h = s.hash[s.starts[a] : s.starts[b]]
-        if len(h):
-            has = np.flatnonzero(np.diff(s.starts[a : b + 1]) > 0)
-            starts = s.starts[a : b + 1][has] - s.starts[a]
-            for k in range(SAMPLES):
-                out[k, a + has] = np.minimum.reduceat(h * _TURN_PLAIN[k], starts)
-        a = b
-    return _mix(out)
-
-
 def _signatures(steps: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
             s = shingles(*_bytes(batch, "text"))
-            got = np.concatenate([samples(s, steps.value), plain_samples(s)])
+            got = samples(s, steps.value)
             n = batch.num_rows
-            bands = np.zeros((n, 2 * BANDS), np.uint64)
-            for k in range(2 * BANDS):
+            bands = np.zeros((n, BANDS), np.uint64)
+            for k in range(BANDS):
                 total = np.full(n, k + 1, np.uint64)
                 for row in got[k * ROWS : (k + 1) * ROWS]:
                     total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + row)
                 bands[:, k] = total
             some = np.diff(s.starts) > 0
             flat = pa.array(bands[some].view(np.int64).ravel(), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, 2 * BANDS, 0))]), pa.int32()), flat)
-            prints = np.ascontiguousarray((got & np.uint64(255)).astype(np.uint8).T)
-            prints = pa.array([p.tobytes() if y else b"" for p, y in zip(prints, some, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["t1"], batch["t2"], lists, prints], ["node", "t1", "t2", "bands", "print"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["t1"], batch["t2"], pc.binary_length(batch["text"]), lists], ["node", "t1", "t2", "bytes", "bands"])
 
-    return run
+    return frugal(run)
 
 
 # ------------------------------------------------------------------ verification
 
-def similarities(a: Shingles, b: Shingles, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted (TF-IDF) and plain Jaccard similarity of the i-th text of a and of b."""
+def similarities(a: Shingles, b: Shingles, steps: np.ndarray) -> np.ndarray:
+    """Weighted (TF-IDF) Jaccard similarity of the i-th text of a and of b."""
     texts = len(a.starts) - 1
     h, of = np.concatenate([a.hash, b.hash]), np.concatenate([a.of, b.of])
     w = np.concatenate([_IDF[_steps(a, steps)] * a.tf, _IDF[_steps(b, steps)] * b.tf])
@@ -286,30 +282,27 @@ def similarities(a: Shingles, b: Shingles, steps: np.ndarray) -> tuple[np.ndarra
     h, of, w = h[order], of[order], w[order]
     pair = np.flatnonzero((h[1:] == h[:-1]) & (of[1:] == of[:-1]))
     both = np.bincount(of[pair], weights=np.minimum(w[pair], w[pair + 1]), minlength=texts)
-    all_ = np.bincount(of, weights=w, minlength=texts) - both
-    n = np.bincount(of[pair], minlength=texts)
-    size = np.bincount(of, minlength=texts) - n
-    return both / np.maximum(all_, 1e-12), n / np.maximum(size, 1)
+    return both / np.maximum(np.bincount(of, weights=w, minlength=texts) - both, 1e-12)
 
 
 def _verify(steps: Broadcast, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             a, b = (shingles(*_bytes(batch, k)) for k in ("text_a", "text_b"))
-            weighted, plain = similarities(a, b, steps.value)
-            ok = pa.array(np.maximum(weighted, plain) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(weighted), pa.array(plain)], ["a", "b", "weighted", "plain"]).filter(ok)
+            like = similarities(a, b, steps.value)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(like)], ["a", "b", "similarity"]).filter(pa.array(like >= threshold))
 
-    return run
+    return frugal(run)
 
 
 def _texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """node and text of the nodes asked for. Ids up to MOST_BROADCAST are broadcast, so that no other text moves; beyond
     that the join shuffles."""
     asked = stored(asked, "nd-asked")
-    if asked.count() <= MOST_BROADCAST:
-        asked = F.broadcast(asked)
-    return stored(texts.join(asked, "node", "left_semi"), "nd-texts")
+    few = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
+    own = stored(texts.join(few, "node", "left_semi"), "nd-texts")
+    drop(asked)
+    return own
 
 
 def _links(pairs: DataFrame, texts: DataFrame, steps: Broadcast, threshold: float) -> DataFrame:
@@ -318,45 +311,45 @@ def _links(pairs: DataFrame, texts: DataFrame, steps: Broadcast, threshold: floa
     one = own.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = own.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(steps, threshold), "a long, b long, weighted double, plain double")
+    links = stored(both.mapInArrow(_verify(steps, threshold), "a long, b long, similarity double").select("a", "b"), "nd-links")
+    drop(own)
+    return links
 
 
 def _across(steps: Broadcast, threshold: float):
     """Rows come sorted by bucket and block pair (p, q). Links between members of different components: of one block if p
-    and q are the same, else between the two. A pair that shares several buckets is compared in that of its first band."""
+    and q are the same, else between the two. A pair that shares several buckets is compared in that of its first band.
+    The lesser total weight over the greater bounds the similarity from above, so that only pairs within it are compared;
+    all of these are, on whole texts."""
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
         node, comp, blk = table["node"].to_numpy(), table["component"].to_numpy().copy(), table["blk"].to_numpy()
         band, cross = table["band"][0].as_py(), table["p"][0].as_py() != table["q"][0].as_py()
-        prints = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint8).reshape(len(node), 2, SAMPLES)
-        bands = pa.concat_arrays(table["bands"].chunks).flatten().to_numpy().reshape(len(node), 2 * BANDS)
+        bands = pa.concat_arrays(table["bands"].chunks).flatten().to_numpy().reshape(len(node), BANDS)
         s = shingles(*_bytes(pa.RecordBatch.from_arrays([pa.concat_arrays(table["text"].chunks)], ["text"]), "text"))
         w = _IDF[_steps(s, steps.value)] * s.tf
         total, count = np.add.reduceat(w, s.starts[:-1]), np.diff(s.starts)
+        order = np.argsort(total, kind="stable")
+        sizes = total[order]
         words, word = np.unique(s.hash, return_inverse=True)
-        own_w, own_1 = np.zeros(len(words)), np.zeros(len(words))
-        for i in range(len(node)):
+        own_w = np.zeros(len(words))
+        for r, i in enumerate(order.tolist()):
+            # Each pair once, from its lighter text. A part in 10^9 allows for rounding.
+            other = order[r + 1 : int(np.searchsorted(sizes, sizes[r] / threshold * (1 + 1e-9), "right"))]
+            other = other[comp[other] != comp[i]]
             if cross:
-                other = np.flatnonzero((comp != comp[i]) & (blk != blk[i])) if blk[i] == blk[0] else np.zeros(0, int)
-            else:
-                other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            if len(other):
-                other = other[(prints[other] == prints[i]).mean(2).max(1) >= LEAST_AGREE]
-            if len(other):
-                other = other[(bands[other] == bands[i]).argmax(1) == band]
+                other = other[blk[other] != blk[i]]
+            other = other[(bands[other] == bands[i]).argmax(1) == band]
             if not len(other):
                 continue
             mine = slice(s.starts[i], s.starts[i + 1])
-            own_w[word[mine]], own_1[word[mine]] = w[mine], 1
+            own_w[word[mine]] = w[mine]
             ends = np.cumsum(count[other])
             at = np.arange(ends[-1]) + np.repeat(s.starts[other] - (ends - count[other]), count[other])
-            first = ends - count[other]
-            both = np.add.reduceat(np.minimum(w[at], own_w[word[at]]), first)
-            shared = np.add.reduceat(own_1[word[at]], first)
-            own_w[word[mine]] = own_1[word[mine]] = 0
-            like = np.maximum(both / (total[i] + total[other] - both), shared / (count[i] + count[other] - shared))
-            hit = other[like >= threshold]
+            both = np.add.reduceat(np.minimum(w[at], own_w[word[at]]), ends - count[other])
+            own_w[word[mine]] = 0
+            hit = other[both / (total[i] + total[other] - both) >= threshold]
             for j in hit:
                 comp[comp == comp[j]] = comp[i]
             if len(hit):
@@ -379,13 +372,13 @@ def _across(steps: Broadcast, threshold: float):
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    return run
+    return frugal(run)
 
 
 def _open(shared: DataFrame, same: DataFrame) -> DataFrame:
-    """bucket, band, node and component, and size, of the buckets of more than two that lie in several components."""
-    own = shared.where("n > 2").select("bucket", "band", "node").join(same, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spans = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
+    """bucket, band, node, bytes and component, and the bucket's size and bytes held, of the buckets of more than two that lie in several components."""
+    own = shared.where("n > 2").select("bucket", "band", "node", "bytes").join(same, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spans = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("bytes").alias("held")).where("lo <> hi").select("bucket", "size", "held")
     return own.join(spans, "bucket")
 
 
@@ -399,25 +392,26 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_class (rows in the class).
 
-    Texts are near duplicates if the weighted Jaccard similarity of their TF-IDF shingles of five words, or the plain one
-    of the same shingles, is `threshold` or more; classes are the connected components of that relation and of equality.
+    Texts are near duplicates if the weighted Jaccard similarity of their TF-IDF shingles of five words (the sum of the
+    lesser weights over that of the greater ones) is `threshold` or more, so that a text isn't one of the same text
+    written twice; classes are the connected components of that relation and of equality.
 
     1. A sketch of document frequencies from all documents (see idf_steps) gives each shingle its weight.
-    2. 126 consistent weighted samples of each text make 21 band hashes of 6, and 126 samples of its plain set of
-       shingles 21 more, so that pairs that are alike by either similarity meet. Exact copies collapse by text hash first.
+    2. 126 consistent weighted samples of each text make 21 band hashes of 6. Exact copies collapse by text hash first.
     3. In each bucket (band hash) every member is paired with the member that has most copies; pairs are verified on
        whole texts, and verified links make components. Where a bucket's members still lie in different components, they
-       are paired with a member picked by hash, and at last each pair across components whose weighted or plain
-       samples agree in 60 % or more is verified too, within the bucket, in pairs of blocks of 2,048, without making a row for each pair. No pair that shares a bucket is left out but those already connected and those whose
-       samples of both kinds rule it out; nothing is capped, and groups of thousands of copies cost a few links a copy.
+       are paired with a member picked by hash, and at last each pair across components is verified too, within the
+       bucket, in pairs of blocks of at most 2,048 texts and about 2 MB, without making a row for each pair. No pair that
+       shares a bucket is left out but those already connected and those whose total weights rule the similarity out;
+       nothing is capped, and groups of thousands of copies cost a few links a copy.
 
     Buckets meet by pre-aggregated minima and plain equi-joins, which AQE splits where one is hot. Texts without a word
     are alike only if they are equal. A null text is an empty one. Rows that share a doc_id share a class; a null doc_id
     stands by its text alone, and a class of such rows only has a class_id from 2^62. Empty tables give empty results;
     other columns are ignored.
     """
-    rows, marks, members = _classes(docs, id_col, text_col, threshold)
-    del rows, marks
+    _, marks, members = _classes(docs, id_col, text_col, threshold)
+    drop(marks)
     size = members.groupBy("class_id").agg(F.sum("n").alias("n_class"))
     per_text = members.join(size, "class_id").select("t1", "t2", "class_id", "n_class")
     own = _rows(docs, id_col, text_col).select("doc_id", "t1", "t2")
@@ -426,19 +420,20 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     rows = _rows(docs, id_col, text_col)
     steps = spark.sparkContext.broadcast(idf_steps(rows.select("text")))
-    marks = stored(rows.select("node", "t1", "t2", "text").mapInArrow(_signatures(steps), "node long, t1 long, t2 long, bands array<long>, print binary"), "nd-marks")
-    exact = marks.groupBy("t1", "t2").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("print").alias("print"))
+    marks = stored(rows.select("node", "t1", "t2", "text").mapInArrow(_signatures(steps), "node long, t1 long, t2 long, bytes int, bands array<long>"), "nd-marks")
+    exact = marks.groupBy("t1", "t2").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
     exact = stored(exact, "nd-exact")
-    member = exact.select(F.posexplode("bands").alias("band", "bucket"), "node", F.col("n").alias("copies"))
+    member = exact.select(F.posexplode("bands").alias("band", "bucket"), "node", "bytes", F.col("n").alias("copies"))
     # The first leader of a bucket is the text with most copies, which is likely to be in the middle of its group.
     buckets = member.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("node")).alias("minus"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("bucket", (-F.col("top.minus")).alias("leader"), "n")
     shared = stored(member.join(buckets, "bucket").drop("copies"), "nd-buckets")
     texts = rows.select("node", "text")
     ordered = [F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")]
     pairs = stored(shared.where("leader <> node").select(*ordered).distinct(), "nd-pairs")
-    links = stored(_links(pairs, texts, steps, threshold).select("a", "b"), "nd-links")
+    links = _links(pairs, texts, steps, threshold)
     same = components(links)
     # Buckets of two are done. Larger ones that still span components need their other pairs: first with one member,
     # another in each bucket, which leaves few buckets open, then all pairs across components.
@@ -446,21 +441,28 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     leader = open_.groupBy("bucket").agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("component").alias("other")), F.xxhash64("bucket", "node")).alias("x")).select("bucket", "x.*")
     more = stored(open_.join(leader, "bucket").where("component <> other").select(*ordered).distinct().join(pairs, ["a", "b"], "left_anti"), "nd-more")
     if more.limit(1).count():
-        links = stored(links.unionByName(_links(more, texts, steps, threshold).select("a", "b")), "nd-links")
+        links, was = stored(links.unionByName(_links(more, texts, steps, threshold)), "nd-links"), links
+        drop(was)
         same = components(links)
         open_ = _open(shared, same)
+    drop(pairs, more)
     # Open buckets are compared whether or not their second leaders gave pairs: a leader may be the first one again.
     rest = stored(open_, "nd-open")
     if rest.limit(1).count():
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rest = rest.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        own = _texts(rest.select("node").distinct(), texts).join(exact.select("node", "bands", "print").dropDuplicates(["node"]), "node")
-        rest = rest.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")).select("bucket", "band", "node", "component", "blk", F.least("blk", "with").alias("p"), F.greatest("blk", "with").alias("q"))
-        rest = rest.join(own, "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "blk", "node")
-        links = stored(links.unionByName(rest.mapInArrow(_across(steps, threshold), "a long, b long")), "nd-links")
+        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("held") / BLOCK_BYTES)).cast("int")
+        dealt = rest.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        found = _texts(rest.select("node").distinct(), texts)
+        own = found.join(exact.select("node", "bands").dropDuplicates(["node"]), "node")
+        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")).select("bucket", "band", "node", "component", "blk", F.least("blk", "with").alias("p"), F.greatest("blk", "with").alias("q"))
+        dealt = dealt.join(own, "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "blk", "node")
+        links, was = stored(links.unionByName(dealt.mapInArrow(_across(steps, threshold), "a long, b long")), "nd-links"), links
+        drop(was, found)
         same = components(links)
     members = exact.select("t1", "t2", "node", "n").join(same, "node", "left").select("t1", "t2", "node", "n", F.coalesce("component", "node").alias("class_id"))
-    return rows, marks, stored(members, "nd-members")
+    members = stored(members, "nd-members")
+    drop(exact, shared, links, rest)
+    steps.unpersist()
+    return rows, marks, members
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -11,17 +12,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, pick, slices
+from .common import frugal, packed, pick, slices, small_batches
 
 BAR, END = "▁", 0xFF
 START, NONE = -1, -2
 UNIT = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
-#: Suffixes that are sorted at once; characters of new units that are encoded together; units that are remembered at
-#: most; odd characters likewise; slots for pairs of pieces whose fit is known.
-SUFFIXES, PORTION, REMEMBERED, ODD, SLOTS = 1 << 20, 1 << 18, 500_000, 50_000, 1 << 20
+#: Characters of new units that are encoded together, and bytes of a long unit whose suffixes are sorted at once; units
+#: and tokens that are remembered at most; odd characters likewise; slots for pairs of pieces whose fit is known.
+PORTION, REMEMBERED, TOKENS, ODD, SLOTS = 1 << 16, 300_000, 4_000_000, 50_000, 1 << 20
 
 
 class Coder:
@@ -103,7 +105,7 @@ class Coder:
         ok = self.fits.get(key)
         if ok is None:
             x, y = self._text(key >> 32), self._text(key & 0xFFFFFFFF)
-            if len(self.fits) > SLOTS:
+            if len(self.fits) > SLOTS // 4:
                 self.fits.clear()
             ok = self.fits[key] = self._merged([*(x + y)]) == [x, y]
         return ok
@@ -125,38 +127,107 @@ class Coder:
             self.slot_fit[slot[wrong]] = ok[miss][wrong]
         return ok
 
-    def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and piece of every occurrence of a piece in text, a byte array, in no order."""
+    def edges(self, text: np.ndarray, upto: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of every occurrence of a piece in text, a byte array, in no order; only those that start
+        before upto, if that is given."""
         wide = np.concatenate([text, np.full(self.width + 8, END, np.uint8)])
         word = lambda at: np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)[at]).view(">u8").ravel().astype(np.uint64)
         long_ = self.piece_len > 8
-        starts, pieces = [], []
-        for a in range(0, len(text), SUFFIXES):
-            at = np.arange(a, min(a + SUFFIXES, len(text)))
-            at = at[((text[at] & 0xC0) != 0x80) & (text[at] != END)]  # where characters begin
-            keys = word(at)
-            order = np.argsort(keys)
-            keys, at = keys[order], at[order]
-            low = np.searchsorted(keys, self.low[:, 0], "left")
-            n = np.searchsorted(keys, self.high[:, 0], "right") - low
-            hit = np.flatnonzero(n > 0)
-            n = n[hit]
-            ends = np.cumsum(n)
-            start = at[np.arange(ends[-1] if len(ends) else 0) + np.repeat(low[hit] - (ends - n), n)]
-            piece = np.repeat(hit, n)
-            rest = np.flatnonzero(long_[piece])
-            for k in range(1, self.width // 8):
-                rest = rest[self.piece_len[piece[rest]] > 8 * k]
-                got = word(start[rest] + 8 * k)
-                bad = (got < self.low[piece[rest], k]) | (got > self.high[piece[rest], k])
-                piece[rest[bad]] = -1
-                rest = rest[~bad]
-            ok = piece >= 0
-            starts.append(start[ok])
-            pieces.append(piece[ok])
-        start, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, pieces))
+        at = np.flatnonzero(((text[:upto] & 0xC0) != 0x80) & (text[:upto] != END))  # where characters begin
+        keys = word(at)
+        order = np.argsort(keys)
+        keys, at = keys[order], at[order]
+        low = np.searchsorted(keys, self.low[:, 0], "left")
+        n = np.searchsorted(keys, self.high[:, 0], "right") - low
+        hit = np.flatnonzero(n > 0)
+        n = n[hit]
+        ends = np.cumsum(n)
+        start = at[np.arange(ends[-1] if len(ends) else 0) + np.repeat(low[hit] - (ends - n), n)]
+        piece = np.repeat(hit, n)
+        rest = np.flatnonzero(long_[piece])
+        for k in range(1, self.width // 8):
+            rest = rest[self.piece_len[piece[rest]] > 8 * k]
+            got = word(start[rest] + 8 * k)
+            bad = (got < self.low[piece[rest], k]) | (got > self.high[piece[rest], k])
+            piece[rest[bad]] = -1
+            rest = rest[~bad]
+        ok = piece >= 0
+        start, piece = start[ok], piece[ok]
         return start, start + self.piece_len[piece], self.piece_at[piece]
 
+    def _with_odd(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray, upto: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The edges, and one for each character that is no piece."""
+        first = np.flatnonzero(((text[:upto] & 0xC0) != 0x80) & (text[:upto] != END))
+        stop = np.zeros(len(text) + 1, np.int64)
+        lead = text[first]
+        stop[first] = first + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+        single = np.zeros(len(text) + 1, bool)
+        single[start[end == stop[start]]] = True
+        bare = first[~single[first]]
+        if not len(bare):
+            return start, end, piece
+        codes = []
+        raw = text.tobytes()
+        for s, e in zip(bare.tolist(), stop[bare].tolist(), strict=True):
+            c = raw[s:e].decode()
+            if c not in self.odd:
+                self.odd[c] = self.n + len(self.odd_text)
+                self.odd_text.append(c)
+            codes.append(self.odd[c])
+        return np.concatenate([start, bare]), np.concatenate([end, stop[bare]]), np.concatenate([piece, np.array(codes)])
+
+    def _spelled(self, ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Odd characters stand for their bytes."""
+        if not (ids >= self.n).any():
+            return ids, of
+        split = [[t] if t < self.n else [self.bytes_id[x] for x in self.odd_text[t - self.n].encode()] for t in ids.tolist()]
+        return np.array([t for x in split for t in x]), np.repeat(of, [len(x) for x in split])
+
+    def _remember(self, units: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        have = len(self.known)
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.at) < have + len(units):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[have : have + len(units)] = self.used + np.cumsum(n) - n
+        self.size[have : have + len(units)] = n
+        self.used += len(ids)
+        self.known.update(zip(units, range(have, have + len(units)), strict=True))
+
+    def _learn_long(self, unit: str) -> None:
+        """Encodes one long unit: edges come from a window of its bytes at a time, and are relaxed position by position.
+        Only the last piece before each position and where it starts are held for the whole unit, 8 bytes a byte."""
+        text = np.frombuffer((BAR + unit).encode(), np.uint8)
+        last, since = np.full(len(text) + 1, NONE, np.int32), np.zeros(len(text) + 1, np.int32)
+        last[0] = START
+        ahead: dict[int, tuple[int, int]] = {0: (START, 0)}
+        fit = self._fit
+        for a in range(0, len(text), PORTION):
+            upto = min(PORTION, len(text) - a)
+            part = text[a : a + upto + self.width]
+            start, end, piece = self._with_odd(part, *self.edges(part, upto), upto)
+            order = np.argsort(start, kind="stable")
+            start, end, piece = start[order], end[order], piece[order]
+            cuts = np.append(np.flatnonzero(np.diff(start, prepend=-1)), len(start))
+            places, ends, pieces, cuts = (start[cuts[:-1]] + a).tolist(), (end + a).tolist(), piece.tolist(), cuts.tolist()
+            for i, at in enumerate(places):
+                if at not in ahead:
+                    continue
+                before, from_ = ahead.pop(at)
+                last[at], since[at] = before, from_
+                for k in range(cuts[i], cuts[i + 1]):
+                    if before == START or fit(before << 32 | pieces[k]):
+                        ahead[ends[k]] = (pieces[k], at)
+        last[len(text)], since[len(text)] = ahead[len(text)]
+        ids = array("i")
+        at = len(text)
+        while at:
+            ids.append(last[at])
+            at = int(since[at])
+        ids, _ = self._spelled(np.array(ids, np.int64)[::-1], np.zeros(len(ids), np.int64))
+        self._remember([unit], ids, np.array([len(ids)]))
+
     def _learn(self, units: list[str]) -> None:
         """Encodes units, all of them at once, and remembers them."""
         coded = [(BAR + u).encode() for u in units]
@@ -165,24 +236,7 @@ class Coder:
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         ends = np.cumsum(sizes + 1) - 1
         begins = ends - sizes
-        # Characters that are no piece are edges as well.
-        first = np.flatnonzero(((text & 0xC0) != 0x80) & (text != END))
-        stop = np.zeros(len(text) + 1, np.int64)
-        lead = text[first]
-        stop[first] = first + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
-        single = np.zeros(len(text) + 1, bool)
-        single[start[end == stop[start]]] = True
-        bare = first[~single[first]]
-        if len(bare):
-            codes = []
-            raw = text.tobytes()
-            for s, e in zip(bare.tolist(), stop[bare].tolist(), strict=True):
-                c = raw[s:e].decode()
-                if c not in self.odd:
-                    self.odd[c] = self.n + len(self.odd_text)
-                    self.odd_text.append(c)
-                codes.append(self.odd[c])
-            start, end, piece = np.concatenate([start, bare]), np.concatenate([end, stop[bare]]), np.concatenate([piece, np.array(codes)])
+        start, end, piece = self._with_odd(text, start, end, piece)
         last, since = np.full(len(text) + 1, NONE, np.int64), np.zeros(len(text) + 1, np.int64)
         last[begins] = START
         # By place in the unit: whatever leads to a place comes before what starts there.
@@ -211,21 +265,8 @@ class Coder:
         ids = np.concatenate([t for _, t in steps])
         order = np.argsort(of << 32 | (len(steps) - np.repeat(np.arange(len(steps)), [len(u) for u, _ in steps])))
         of, ids = of[order], ids[order]
-        if (ids >= self.n).any():
-            split = [[t] if t < self.n else [self.bytes_id[x] for x in self.odd_text[t - self.n].encode()] for t in ids.tolist()]
-            of = np.repeat(of, [len(x) for x in split])
-            ids = np.array([t for x in split for t in x])
-        n = np.bincount(of, minlength=len(units))
-        have = len(self.known)
-        while len(self.pool) < self.used + len(ids):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while len(self.at) < have + len(units):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.at[have : have + len(units)] = self.used + np.cumsum(n) - n
-        self.size[have : have + len(units)] = n
-        self.used += len(ids)
-        self.known.update(zip(units, range(have, have + len(units)), strict=True))
+        ids, of = self._spelled(ids, of)
+        self._remember(units, ids, np.bincount(of, minlength=len(units)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
@@ -242,10 +283,13 @@ class Coder:
                 units = t.split(" ")
             flat += units
             counts.append(len(units))
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.used > TOKENS:
             self.forget()
         new, held = [], 0
         for u in {*flat}.difference(self.known):
+            if len(u) > PORTION:
+                self._learn_long(u)
+                continue
             new.append(u)
             held += len(u)
             if held >= PORTION:
@@ -263,9 +307,10 @@ class Coder:
 
     # -------------------------------------------------------------- decoding
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Pieces joined, bars as spaces, without the dummy prefix; bytes that are no UTF-8 become U+FFFD."""
-        text = b"".join(map(self.surface.__getitem__, ids)).decode(errors="replace")
+        get = self.surface.__getitem__
+        text = b"".join([b"".join(map(get, ids[a : a + PORTION].tolist())) for a in range(0, len(ids), PORTION)]).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -289,24 +334,28 @@ def _strings(column: pa.Array) -> list[str]:
     return [x.decode(errors="replace") for x in column.to_pylist()]
 
 
-def _mapper(model: bytes, keep: str, text: str | None = None):
+def _mapper(model: Broadcast, keep: str, text: str | None = None):
     """keep: the column that stays; text: the field of it that has the text, else the text is a column of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(model)
+        own = coder(model.value)
         # Token ids take more room than texts, so batches are small.
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 1 << 20):
             values = batch["text"] if text is None else pc.fill_null(pc.struct_field(batch[keep], text), "").cast(pa.binary())
             raw = values.to_pylist()
             coded, sizes = own.encode(_strings(values))
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            flat = coded.tolist()
-            back = [own.decode(flat[a:b]).encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            back = [own.decode(coded[a:b]).encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             arrays = [batch[keep], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(coded, pa.int32())), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()), pa.array([a == b for a, b in zip(raw, back, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, [keep, "n_tokens", "ids", "decoded_sha256", "lossless"])
         own.forget()
 
-    return run
+    return frugal(run)
+
+
+def _sent(docs: DataFrame, model: bytes) -> Broadcast:
+    small_batches(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,13 +363,13 @@ def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
     (whether that is the text).
 
     Whole texts are encoded, in batches of bounded memory (a batch's distinct new units are indexed in portions; a long
-    unit's suffixes as well) and without a shuffle; the ids are those of the SentencePiece library. A text with U+2581 is
+    unit's suffixes as well, so that 5 MB without a space take some 250 MB) and without a shuffle; the ids are those of the SentencePiece library. A text with U+2581 is
     read as if that were a space, and isn't lossless. Null and empty texts have no tokens and decode to the empty text.
     Null or repeated ids and repeated rows are judged each by itself; other columns are ignored.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_mapper(model, "doc_id"), f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
+    return rows.mapInArrow(_mapper(_sent(docs, model), "doc_id"), f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
 
 
 def decode_ids(rows: DataFrame, model: bytes, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -333,7 +382,7 @@ def decode_ids(rows: DataFrame, model: bytes, *, id_col: str = "doc_id", ids_col
             for ids in batch["ids"].to_pylist():
                 if ids and (min(ids) < 0 or max(ids) >= own.n):
                     raise ValueError("an id is outside the vocabulary")
-                texts.append(own.decode(ids or []))
+                texts.append(own.decode(np.array(ids or [], np.int64)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
     src = pick(rows, doc_id=id_col, ids=ids_col).select("doc_id", F.filter("ids", lambda x: x.isNotNull()).alias("ids"))
@@ -341,12 +390,13 @@ def decode_ids(rows: DataFrame, model: bytes, *, id_col: str = "doc_id", ids_col
 
 
 def encode_columns(docs: DataFrame, model: bytes, *, text_col: str = "text") -> DataFrame:
-    """docs with all columns and n_tokens, ids, decoded_sha256 and lossless; such columns of docs are replaced."""
+    """docs with all columns and n_tokens, ids, decoded_sha256 and lossless; such columns of docs are replaced. Nulls, odd
+    texts, repeated rows and empty tables as with encode_texts."""
     made = ("n_tokens", "ids", "decoded_sha256", "lossless")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     rows, _ = packed(docs)
     names = docs.columns
     text = f"_in{names.index(text_col)}"
     kind = rows.schema["_row"].dataType.simpleString()
-    out = rows.mapInArrow(_mapper(model, "_row", text), f"_row {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
+    out = rows.mapInArrow(_mapper(_sent(docs, model), "_row", text), f"_row {kind}, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
     return out.select(*[F.col("_row")[f"_in{i}"].alias(f"_out{i}") for i in range(len(names))], *made).toDF(*names, *made)

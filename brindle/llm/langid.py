@@ -9,18 +9,20 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, pick, slices
+from .common import frugal, packed, pick, slices, small_batches
 
 #: Byte n-grams are hashed into 2^BITS bins; a model holds one float for each bin and language.
 BITS = 14
 BINS = 1 << BITS
 #: Documents that are told apart at once; their bins are counted in one array.
-CHUNK = 128
+CHUNK = 64
 #: Bytes whose n-grams are listed at once, so that the length of a text doesn't matter.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
+#: Languages of a model, 64 KB each; of more, those with most n-grams.
 MAX_LANGUAGES = 512
 
 
@@ -77,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, name in enumerate(names):
             held[name] = held[name] + got[k] if name in held else got[k].copy()
     for name, counts in held.items():
-        yield pa.RecordBatch.from_pylist([{"lang": name, "counts": zlib.compress(counts.astype("<i8").tobytes(), 1)}])
+        yield pa.RecordBatch.from_pylist([{"lang": name, "total": int(counts.sum()), "counts": zlib.compress(counts.astype("<i8").tobytes(), 1)}])
 
 
 
@@ -88,20 +90,20 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = np.frombuffer(zlib.decompress(counts), "<i8")
             held[name] = held[name] + got if name in held else got.copy()
     for name, counts in held.items():
-        yield pa.RecordBatch.from_pylist([{"lang": name, "counts": zlib.compress(counts.tobytes(), 1)}])
+        yield pa.RecordBatch.from_pylist([{"lang": name, "total": int(counts.sum()), "counts": zlib.compress(counts.tobytes(), 1)}])
 
 
-def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", smooth: float = 0.5, spread: int = 16) -> Model:
+def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", smooth: float = 0.5, spread: int = 16, most: int = MAX_LANGUAGES) -> Model:
     """Counts the n-grams of every row with a text and a language, by language. Tasks add up their own counts; the sums
     meet in two steps, first dealt by `spread` salts, then by language, always one array at a time. What reaches the
-    driver is one array of 2^14 counts a language, for MAX_LANGUAGES at most (more raise ValueError)."""
+    driver is one array of 2^14 counts a language, for `most` languages at most: where there are more, those with most
+    n-grams are learned (ties to the smaller name), and texts in others are read as the nearest of these."""
     rows = pick(labelled, lang=lang_col, text=text_col).dropna().select("lang", F.col("text").cast("binary").alias("text"))
-    kind = "lang string, counts binary"
-    part = rows.mapInArrow(_count, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
-    part = part.repartition(spread, "salt").select("lang", "counts").mapInArrow(_add, kind)
-    got = part.repartition(spread, "lang").mapInArrow(_add, kind).limit(MAX_LANGUAGES + 1).collect()
-    if len(got) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    small_batches(rows.sparkSession)
+    kind = "lang string, total long, counts binary"
+    part = rows.mapInArrow(frugal(_count), kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
+    part = part.repartition(spread, "salt").select("lang", "total", "counts").mapInArrow(frugal(_add), kind)
+    got = part.repartition(spread, "lang").mapInArrow(frugal(_add), kind).orderBy(F.col("total").desc(), "lang").limit(most).collect()
     got = sorted(got, key=lambda r: r["lang"])
     if not got:
         return Model([], np.zeros((BINS, 0), np.float32))
@@ -174,11 +176,12 @@ def _padded(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(texts), 1), pc.binary_join_element_wise(space, texts, space, none), texts)
 
 
-def _predictor(model: Model, text: str | None = None):
+def _predictor(learned: Broadcast, text: str | None = None):
     """text: the field of _row that has the text; else it is a column of its own."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        model = learned.value
+        for batch in slices(batches, 2 << 20):
             values = batch if text is None else pa.RecordBatch.from_arrays([pc.fill_null(pc.struct_field(batch["_row"], text), "").cast(pa.binary())], ["text"])
             values = pa.RecordBatch.from_arrays([_padded(values["text"])], ["text"])
             share, seen = infer(model, *_bytes(values, "text"))
@@ -191,7 +194,12 @@ def _predictor(model: Model, text: str | None = None):
             kept = [name for name in batch.schema.names if name not in ("text", "letters")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(mix, pa.string())], [*kept, "lang_pred", "score", "mixture"])
 
-    return predict
+    return frugal(predict)
+
+
+def _sent(docs: DataFrame, model: Model) -> Broadcast:
+    small_batches(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def _letters(text: Column) -> Column:
@@ -207,16 +215,16 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("doc_id").schema)
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), _letters(F.col("text"))).mapInArrow(_predictor(model), f"{out}, lang_pred string, score double, mixture string")
+    return rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), _letters(F.col("text"))).mapInArrow(_predictor(_sent(docs, model)), f"{out}, lang_pred string, score double, mixture string")
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs without the rows whose text is in no language (null, without a letter), also where nothing was learned. All
-    columns stay."""
+    columns stay, whatever their names; repeated rows are judged each by itself, and an empty table gives an empty one."""
     rows, unpack = packed(docs)
     at = f"_in{docs.columns.index(text_col)}"
     if not model.languages:
         return unpack(rows.where(_letters(F.col("_row")[at])))
     kind = rows.select("_row").schema[0].dataType.simpleString()
-    out = rows.select("_row", _letters(F.col("_row")[at])).mapInArrow(_predictor(model, at), f"_row {kind}, lang_pred string, score double, mixture string")
+    out = rows.select("_row", _letters(F.col("_row")[at])).mapInArrow(_predictor(_sent(docs, model), at), f"_row {kind}, lang_pred string, score double, mixture string")
     return unpack(out.where(F.col("lang_pred") != "und").select("_row"))

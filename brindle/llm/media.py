@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import pick, scratch, slices
+from .common import frugal, pick, scratch, slices, small_batches
 
 #: Payloads are padded with this byte, which UTF-8 never uses, to a positive multiple of UNIT.
 PAD, UNIT = b"\xff", 576
@@ -93,7 +93,7 @@ def _write_part(folder: str, limit: int):
             name = f"{root}/part-{part:06d}-{k:04d}.zip"
             fs.move(f"{root}/_tmp/{part}-{attempt}-{k}", name)
             zf, k = None, k + 1
-            return pa.RecordBatch.from_pylist([{"archive": name, "members": n}])
+            return pa.RecordBatch.from_pylist([{"archive": f"part-{part:06d}-{k - 1:04d}.zip", "members": n}])
 
         for batch in slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -107,18 +107,46 @@ def _write_part(folder: str, limit: int):
         if zf is not None:
             yield close()
 
-    return write
+    return frugal(write)
 
 
 def write_archives(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", archive_mb: int = 64) -> int:
     """Stores each text of docs (null: empty) as an image in ZIP archives below folder, a URL that all machines reach.
     Returns the number of members. A part's archives are renamed into place when whole, so that a failed or repeated
-    attempt leaves nothing that a reader sees."""
+    attempt leaves nothing that a reader sees. What each holds is written down in _manifest. An empty table writes none."""
+    small_batches(docs.sparkSession)
     fs, root = _open(folder)
     fs.create_dir(f"{root}/_tmp", recursive=True)
     src = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    done = src.mapInArrow(_write_part(folder, archive_mb << 20), "archive string, members long")
-    return done.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    src.mapInArrow(_write_part(folder, archive_mb << 20), "archive string, members long").write.mode("overwrite").parquet(f"{folder}/_manifest")
+    return _manifest(docs.sparkSession, folder).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("archive string, members long").parquet(f"{folder}/_manifest")
+
+
+def check_archives(spark: SparkSession, folder: str) -> None:
+    """Raises ValueError if an archive of the manifest is missing, or lists another number of members than were written.
+    Tasks read the archives' directories, no payloads."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open(folder)
+        for batch in batches:
+            wrong = []
+            for name, members in zip(batch["archive"].to_pylist(), batch["members"].to_pylist(), strict=True):
+                try:
+                    with fs.open_input_file(f"{root}/{name}") as f, zipfile.ZipFile(f) as zf:
+                        found = len(zf.infolist())
+                except (OSError, zipfile.BadZipFile):
+                    found = -1
+                if found != members:
+                    wrong.append({"archive": name, "members": members, "found": found})
+            yield pa.RecordBatch.from_pylist(wrong, schema=pa.schema([("archive", pa.string()), ("members", pa.int64()), ("found", pa.int64())]))
+
+    wrong = _manifest(spark, folder).mapInArrow(compare, "archive string, members long, found long").limit(10).collect()
+    if wrong:
+        raise ValueError("archives that aren't as written: " + ", ".join(f"{r['archive']} ({r['found']} of {r['members']} members)" for r in wrong))
 
 
 class Range(InputPartition):
@@ -139,7 +167,7 @@ class ArchiveReader(DataSourceReader):
         return [Range(path, at, at + self.size) for path, n in files for at in range(0, n, self.size)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        """The members whose headers begin in the range, in batches of about 8 MB. A member that can't be read is tried
+        """The members whose headers begin in the range, in batches of about 2 MB. A member that can't be read is tried
         again by its own offset, on a fresh handle; if that fails for good, its row has the error and no media."""
         if not partition.archive:
             return
@@ -152,7 +180,7 @@ class ArchiveReader(DataSourceReader):
                 stem = info.filename.rpartition(".")[0]
                 rows.append({"doc_id": None if stem == "null" else int(stem), "archive": partition.archive, "at": info.header_offset, "media": media, "error": error})
                 held += len(media or b"")
-                if held >= 8 << 20:
+                if held >= 2 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema=MEMBERS)
                     rows, held = [], 0
             if rows:
@@ -201,26 +229,38 @@ class MediaArchives(DataSource):
 
 
 def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """One row for each member below folder: doc_id (null where its name is null), archive, at (its offset), media, error.
+    A member that stays unreadable has its error and no media; a folder without archives gives an empty table. Repeated
+    members are rows of their own."""
     spark.dataSource.register(MediaArchives)
     return spark.read.format("media_archives").options(**options).load(folder)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        rows = []
-        for doc_id, media, error in zip(batch["doc_id"].to_pylist(), batch["media"], batch["error"].to_pylist(), strict=True):
-            row = dict.fromkeys(FEATURES.names) | {"doc_id": doc_id, "error": error}
-            if error is None:
-                media = media.as_py()
-                payload = from_image(media)
-                row |= {"n_bytes": len(payload.rstrip(PAD)), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(payload)}
-            rows.append(row)
-        yield pa.RecordBatch.from_pylist(rows, schema=FEATURES)
+def _features(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4 << 20):
+            rows = []
+            for doc_id, media, error in zip(batch["doc_id"].to_pylist(), batch["media"], batch["error"].to_pylist(), strict=True):
+                if whole and error is not None:
+                    raise ValueError(f"the member of document {doc_id} can't be read: {error}")
+                rows.append(_row(doc_id, media.as_py(), error))
+            yield pa.RecordBatch.from_pylist(rows, schema=FEATURES)
+
+    return frugal(run)
+
 
+def _row(doc_id: int | None, media: bytes | None, error: str | None) -> dict:
+    row = dict.fromkeys(FEATURES.names) | {"doc_id": doc_id, "error": error}
+    if error is None:
+        payload = from_image(media)
+        row |= {"n_bytes": len(payload.rstrip(PAD)), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(payload)}
+    return row
 
-def media_features(members: DataFrame) -> DataFrame:
-    """Digests and features of each member as read_archives() gives it; a member with an error keeps it, all else null."""
-    return members.select("doc_id", "media", "error").mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+
+def media_features(members: DataFrame, *, whole: bool = False) -> DataFrame:
+    """Digests and features of each member as read_archives() gives it. A member with an error keeps it, all else null;
+    with `whole`, it raises ValueError instead."""
+    return members.select("doc_id", "media", "error").mapInArrow(_features(whole), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -230,9 +270,13 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A text is its UTF-8 bytes, padded with bytes 255 up to a positive multiple of 576, as an 8-bit grey PNG of 576
     samples a row: lossless and compressed once. The unpadded length is what precedes the trailing bytes 255, which
     UTF-8 never has. Texts are stored by the task that reads them, without a shuffle, so neither hot sources nor copies
-    matter; memory is bounded by a batch of 8 MB or one text. Null texts are empty ones; null and repeated ids and
+    matter; memory is bounded by a batch of 2 MB or one text. Null texts are empty ones; null and repeated ids and
     repeated rows are members of their own; an empty table gives an empty result; other columns are ignored.
+
+    The result is whole or there is none: an archive that lacks members raises ValueError at once, and a member that
+    stays unreadable after its retries when the rows are computed.
     """
     folder = folder or scratch(docs.sparkSession, "media")
     write_archives(docs, folder, id_col=id_col, text_col=text_col)
-    return media_features(read_archives(docs.sparkSession, folder))
+    check_archives(docs.sparkSession, folder)
+    return media_features(read_archives(docs.sparkSession, folder), whole=True)

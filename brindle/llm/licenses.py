@@ -14,8 +14,6 @@ from .license_rules import rules
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Marks around a match; words hold neither.
-OPEN, CLOSE = "\x01", "\x02"
 #: What a detection of each priority counts as evidence; a base phrase counts as the highest.
 TRUST = (0.3, 0.5, 0.8, 0.95)
 
@@ -37,12 +35,15 @@ def _let(value: Column, body) -> Column:
 
 
 def _places(norm: Column, regex: Column) -> Column:
-    """(start, end) in words of all matches, which regex holds as its first group. norm is ' w0 w1 ... '; a mark that no
-    word can hold goes before the first and after the last word of a match, and marked words are found by position."""
-    words = F.split(F.regexp_replace(norm, regex, F.lit(f" {OPEN}$1{CLOSE}")), " ", -1)
-    at = lambda ws, test: F.filter(F.transform(ws, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
-    pairs = lambda ws: F.zip_with(at(ws, lambda w: w.startswith(OPEN)), at(ws, lambda w: w.endswith(CLOSE)), lambda a, b: F.struct((a - 1).alias("start"), b.alias("end")))
-    return _let(words, pairs)
+    """(start, end) in words of all matches, which regex holds as its first group after a space. norm is ' w0 w1 ... ', so
+    that the spaces before a place are the words before it: they are counted in what lies between the matches and in the
+    matches, of which there are few, and no word is looked at by itself."""
+    between = F.transform(F.split(norm, regex, -1), _spaces)
+    within = F.transform(F.regexp_extract_all(norm, regex, F.lit(1)), lambda m: _spaces(m) + 1)
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(acc["all"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"))).alias("all"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("all"))
+    pairs = lambda n: F.zip_with(F.slice(between, F.lit(1), F.size(n)), n, lambda gap, m: F.struct(gap.alias("gap"), m.alias("n")))
+    return _let(within, lambda n: F.aggregate(pairs(n), start, step, lambda acc: acc["all"]))
 
 
 def _detections(norm: Column) -> Column:

@@ -52,11 +52,6 @@ def delay_ms(group: Group | None) -> int | None:
     return None if group is None or group.delay is None else round(group.delay * 1000)
 
 
-def to_regex(pattern: str) -> str:
-    """A rule's pattern: a prefix, * for anything, $ for the end."""
-    return "^" + "".join({"*": ".*", "$": "$"}.get(c, re.escape(c)) for c in pattern)
-
-
 def pattern_regex(pattern: Column) -> Column:
     quoted = F.regexp_replace(pattern, r"([\\.^|?+()\[\]{}])", r"\\$1")
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ class Query(NamedTuple):
         return not (self.phrases or self.prefixes)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK))
 
@@ -140,12 +146,15 @@ def snippet(content: Column, words: list[str], length: int = 200) -> Column:
     """A window around the earliest keyword, escaped, with the keywords marked; highlighting follows escaping."""
     clean = trim(F.regexp_replace(F.coalesce(content, F.lit("")), r"(?U)\s+", " "))
     if not words:
-        return F.when(clean == "", "").otherwise(html_escape(truncate(clean, length)))
-    low = F.lower(clean)
-    spots = F.filter(F.array(*[F.locate(w.lower(), low) for w in words]), lambda p: p > 0)
-    spot = F.coalesce(F.array_min(spots), F.lit(1)) - 1
-    start = F.greatest(F.lit(0), spot - length // 2)
-    part = trim(F.substring(clean, start + 1, F.lit(length)))
-    part = F.concat(F.when(start > 0, "…").otherwise(""), part, F.when(start + length < F.length(clean), "…").otherwise(""))
+        return let(clean, lambda c: F.when(c == "", "").otherwise(html_escape(truncate(c, length))))
     pattern = "(?iu)(" + "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", w) for w in words) + ")"
-    return F.when(clean == "", "").otherwise(F.regexp_replace(html_escape(part), pattern, "<mark>$1</mark>"))
+
+    def start(c: Column) -> Column:
+        spots = let(F.lower(c), lambda low: F.array(*[F.nullif(F.locate(w.lower(), low), F.lit(0)) for w in words]))
+        return F.greatest(F.lit(0), F.coalesce(F.array_min(spots), F.lit(1)) - 1 - length // 2)
+
+    def cut(c: Column, at: Column) -> Column:
+        part = F.concat(F.when(at > 0, "…").otherwise(""), trim(F.substring(c, at + 1, F.lit(length))), F.when(at + length < F.length(c), "…").otherwise(""))
+        return F.when(c == "", "").otherwise(F.regexp_replace(html_escape(part), pattern, "<mark>$1</mark>"))
+
+    return let(clean, lambda c: let(start(c), lambda at: cut(c, at)))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import trim
+from .text import let, trim
 
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 #: Parameters that identify no page, extensions of files that are no pages, session keys.
@@ -59,8 +57,7 @@ def _encode(c: Column, form: bool) -> Column:
 def norm_path(path: Column) -> Column:
     """Each segment decoded and encoded again; no trailing slashes; at least /."""
     coded = F.array_join(F.transform(F.split(_decode(path, False), "/", -1), lambda s: _encode(s, False)), "/")
-    short = F.rtrim(coded, F.lit("/"))
-    return F.when(short == "", "/").otherwise(short)
+    return let(F.rtrim(coded, F.lit("/")), lambda short: F.when(short == "", "/").otherwise(short))
 
 
 def params(query: Column) -> Column:
@@ -71,11 +68,14 @@ def params(query: Column) -> Column:
 
 def norm_query(query: Column) -> Column:
     """Parameters without those that track, by key; of a repeated key the last value."""
+
+    def text(own: Column) -> Column:
+        last = lambda k: F.element_at(F.filter(own, lambda y: y["k"] == k), -1)["v"]
+        keys = F.array_sort(F.array_distinct(F.transform(own, lambda x: x["k"])))
+        return F.array_join(F.transform(keys, lambda k: F.concat(_encode(k, True), F.lit("="), _encode(last(k), True))), "&")
+
     own = F.filter(params(query), lambda x: ~F.lower(x["k"]).isin(*TRACKING))
-    last = lambda k: F.element_at(F.filter(own, lambda y: y["k"] == k), -1)["v"]
-    keys = F.array_sort(F.array_distinct(F.transform(own, lambda x: x["k"])))
-    text = F.array_join(F.transform(keys, lambda k: F.concat(_encode(k, True), F.lit("="), _encode(last(k), True))), "&")
-    return F.when(text == "", "").otherwise(F.concat(F.lit("?"), text))
+    return let(let(own, text), lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("?"), t)))
 
 
 def normalize(url: Column) -> Column:
@@ -121,16 +121,15 @@ def is_trap(url: Column) -> Column:
 
 
 def is_shop(url: Column) -> Column:
-    h = bare_host(url)
-    return reduce(Column.__or__, [(h == d) | h.endswith("." + d) for d in SHOPS])
+    return bare_host(url).rlike(r"(?:^|\.)(?:" + "|".join(d.replace(".", r"\.") for d in SHOPS) + r")\z")
 
 
 def product_path(url: Column) -> Column:
-    return reduce(Column.__or__, [F.contains(part(url, 3), F.lit(p)) for p in PRODUCT_PATHS])
+    return part(url, 3).rlike("|".join(PRODUCT_PATHS))
 
 
 def other_path(url: Column) -> Column:
-    return ~product_path(url) & reduce(Column.__or__, [F.contains(part(url, 3), F.lit(p)) for p in OTHER_PATHS])
+    return ~product_path(url) & part(url, 3).rlike("|".join(OTHER_PATHS))
 
 
 def passes_country(url: Column, on: bool = False) -> Column:
@@ -156,7 +155,7 @@ def resolve(href: Column, base: Column) -> Column:
     folder = F.regexp_replace(path, "[^/]*$", "")
     rest = F.concat(origin, collapse_dots(F.concat(folder, href)))
     ok = (part(base, 1) != "") & (host(base) != "")
-    return F.when(href.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), normalize(href)).when(~ok, F.lit(None)).when(href.startswith("//"), normalize(F.concat(part(base, 1), F.lit(":"), href))).when(href.startswith("/"), normalize(F.concat(origin, href))).otherwise(normalize(rest))
+    return normalize(F.when(href.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), href).when(~ok, F.lit(None)).when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(rest))
 
 
 def display_url(url: Column) -> Column:

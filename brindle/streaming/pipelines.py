@@ -37,9 +37,3 @@ def latest_pages(spark: SparkSession, target: str) -> DataFrame:
     keep = last.where("reason is null").groupBy("content_hash").agg(F.min("url_hash").alias("_first"))
     return last.join(keep, "content_hash", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("url_hash") != F.col("_first"), "duplicate content"))).drop("_first")
 
-
-def requests_per_minute(events: DataFrame, *, key: str = "user_id", at: str = "ts") -> DataFrame:
-    """Requests by key and minute, for streams with a watermark of ten minutes."""
-    if events.isStreaming:
-        events = events.withWatermark(at, "10 minutes")
-    return events.groupBy(F.window(at, "1 minute").alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("minute"), "n")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import url as U
@@ -78,9 +77,11 @@ def duration(minutes: float) -> str:
 # ------------------------------------------------------------------ maintenance
 
 def keep_oldest(pages: DataFrame) -> DataFrame:
-    """ids of pages whose content an older page has (by crawled_at, then id)."""
-    first = F.row_number().over(W.partitionBy("content_hash").orderBy("crawled_at", "id"))
-    return pages.where("content_hash is not null").withColumn("_n", first).where("_n > 1").select("id", "content_hash")
+    """ids of pages whose content an older page has (by crawled_at, then id). Each content's oldest page is a pre-aggregated
+    minimum, so that content which a third of all pages share is sorted by no task."""
+    own = pages.where("content_hash is not null").select("id", "content_hash", F.struct("crawled_at", "id").alias("_at"))
+    first = own.groupBy("content_hash").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return own.join(first, "content_hash").where("_at <> _first").select("id", "content_hash")
 
 
 def junk_pages(pages: DataFrame) -> DataFrame:
@@ -93,8 +94,9 @@ def renormalize(rows: DataFrame) -> DataFrame:
     """rows (id, url, url_hash) with new_url, new_hash and action: keep, rewrite, or delete on a collision. Of rows with
     the same new hash, one that has it already stays, else the smallest id."""
     n = rows.withColumn("new_url", U.normalize(F.col("url"))).withColumn("new_hash", F.sha2("new_url", 256))
-    first = F.row_number().over(W.partitionBy("new_hash").orderBy((F.col("url_hash") == F.col("new_hash")).desc(), "id"))
-    return n.withColumn("_n", first).withColumn("action", F.when(F.col("_n") > 1, "delete").when(F.col("url_hash") == F.col("new_hash"), "keep").otherwise("rewrite")).drop("_n")
+    first = n.groupBy("new_hash").agg(F.min(F.struct((F.col("url_hash") != F.col("new_hash")).alias("moves"), "id")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("new_hash", "_first")
+    later = F.col("_first").isNotNull() & (F.col("id") != F.col("_first.id"))
+    return n.join(first, "new_hash", "left").withColumn("action", F.when(later, "delete").when(F.col("url_hash") == F.col("new_hash"), "keep").otherwise("rewrite")).select(*n.columns, "action")
 
 
 def junk_queue(queue: DataFrame) -> DataFrame:

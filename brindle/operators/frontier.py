@@ -14,6 +14,8 @@ STALE_MINUTES, SCAN, PER_DOMAIN, SAMPLE, ERRORS = 10, 5, 2, 20, 0.5
 MOST_URLS, NEW_DOMAINS, MOST_DOMAINS = 10_000, 5, 5_000
 SEED_SHOP, SEED_OTHER, ADDED, DISCOVERED, RECRAWL, RECRAWL_ADMIN = 20, 10, 10, 0, 15, 20
 DEPTH, DEPTH_SHOP, DELAY_MS = 10, 15, 200
+#: Parts of a domain that are capped by themselves first.
+SALTS = 64
 
 
 def stale(now: Column, minutes: int) -> Column:
@@ -55,11 +57,11 @@ def add_domains(domains: DataFrame, urls: DataFrame) -> DataFrame:
     return domains.unionByName(one.join(domains.select("name"), "name", "left_anti").select(*domains.columns))
 
 
-def enqueue(urls: DataFrame, pages: DataFrame, queue: DataFrame, *, iran_only: bool = False) -> DataFrame:
+def enqueue(urls: DataFrame, pages: DataFrame, queue: DataFrame, *, iran_only: bool = False, most_urls: int = MOST_URLS) -> DataFrame:
     """New queue rows from urls (url, depth, priority): url, url_hash, host, depth, priority. Gates in order: worth
-    crawling and no trap, country, shops' pages that are no products, known pages, known URLs, and 10,000 a domain, the
-    best by priority, then hash. Anti-joins on the hash; the cap is counted, so a hot domain is capped by a window that
-    needs only its own new rows."""
+    crawling and no trap, country, shops' pages that are no products, known pages, known URLs, and `most_urls` a domain,
+    the best by priority, then hash. Anti-joins on the hash. The cap is applied to SALTS parts of each domain first, so
+    that a domain with a third of all rows is sorted by many tasks, and then to the SALTS x most_urls rows that may be left."""
     urls = U.once(urls, "_u", U.normalize(F.col("url")))
     u = F.col("_u")
     ok = U.should_crawl(u) & ~U.is_trap(u) & U.passes_country(u, iran_only) & ~(U.is_shop(u) & U.other_path(u))
@@ -67,8 +69,9 @@ def enqueue(urls: DataFrame, pages: DataFrame, queue: DataFrame, *, iran_only: b
     new = new.groupBy("url_hash").agg(F.max(F.struct("priority", "depth", "url", "host")).alias("x")).select("url_hash", "x.*")
     new = new.join(pages.select("url_hash"), "url_hash", "left_anti").join(queue.select("url_hash"), "url_hash", "left_anti")
     held = queue.groupBy("host").agg(F.count("*").alias("_held"))
-    place = F.row_number().over(W.partitionBy("host").orderBy(F.col("priority").desc(), "url_hash"))
-    new = new.join(held, "host", "left").withColumn("_n", place + F.coalesce("_held", F.lit(0))).where(F.col("_n") <= MOST_URLS)
+    place = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.col("priority").desc(), "url_hash"))
+    new = new.withColumn("_salt", F.pmod(F.xxhash64("url_hash"), F.lit(SALTS))).withColumn("_n", place("host", "_salt")).where(F.col("_n") <= most_urls)
+    new = new.join(held, "host", "left").withColumn("_n", place("host") + F.coalesce("_held", F.lit(0))).where(F.col("_n") <= most_urls)
     return new.select("url", "url_hash", "host", "depth", "priority")
 
 
@@ -100,17 +103,17 @@ def to_pause(logs: DataFrame) -> DataFrame:
     return error_rates(logs).where(F.col("rate") > ERRORS)
 
 
-def discover(links: DataFrame, domains: DataFrame) -> DataFrame:
+def discover(links: DataFrame, domains: DataFrame, *, most: int = MOST_DOMAINS) -> DataFrame:
     """New domains from external links (page_id, pos, target_url): up to five a page in order, hosts not known, until
-    there are 5,000. name, base_url, priority."""
+    there are `most`. name, base_url, priority."""
     known = domains.select("name")
     hosts = links.where("is_external").select("page_id", "pos", U.bare_host(F.col("target_url")).alias("name"), F.concat(U.part(F.col("target_url"), 1), F.lit("://"), U.part(F.col("target_url"), 2)).alias("base_url")).where("name <> ''")
     new = hosts.join(known, "name", "left_anti").groupBy("page_id", "name").agg(F.min("pos").alias("pos"), F.min("base_url").alias("base_url"))
     few = new.withColumn("_n", F.row_number().over(W.partitionBy("page_id").orderBy("pos", "name"))).where(F.col("_n") <= NEW_DOMAINS)
     one = few.groupBy("name").agg(F.min(F.struct("page_id", "pos", "base_url")).alias("x"))
-    room = known.agg(F.greatest(F.lit(0), MOST_DOMAINS - F.count("*")).alias("_room"))
+    room = known.agg(F.greatest(F.lit(0), most - F.count("*")).alias("_room"))
     # A bounded number comes through the top-k before it is numbered.
-    first = one.orderBy("x.page_id", "x.pos", "name").limit(MOST_DOMAINS).withColumn("_n", F.row_number().over(W.orderBy("x.page_id", "x.pos", "name")))
+    first = one.orderBy("x.page_id", "x.pos", "name").limit(most).withColumn("_n", F.row_number().over(W.orderBy("x.page_id", "x.pos", "name")))
     return first.join(F.broadcast(room), F.col("_n") <= F.col("_room")).select("name", F.col("x.base_url").alias("base_url"), F.lit(DISCOVERED).alias("priority"))
 
 

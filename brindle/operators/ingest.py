@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -29,8 +28,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old and those rows of new whose key is not there yet, one a key (the first by all columns)."""
-    first = F.row_number().over(W.partitionBy(key).orderBy(*[c for c in new.columns if c != key]))
-    fresh = new.withColumn("_n", first).where("_n = 1").drop("_n")
+    rest = [c for c in new.columns if c != key]
+    fresh = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("_x")).select(key, *[F.col("_x")[c].alias(c) for c in rest])
     return old.unionByName(fresh.join(old.select(key), key, "left_anti").select(*old.columns))
 
 

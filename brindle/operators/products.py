@@ -16,19 +16,22 @@ def candidates(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     """names (name_id, name_normalized) with up to 20 products (id, name_normalized) each that have every word of the
     name as a prefix of one of theirs; relevance is the number of matching words of the product.
 
-    Blocks are the first three letters of words, so names meet products in an equi-join; distinct names are resolved once."""
-    asked = names.select("name_normalized").distinct()
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split("name_normalized", " "), lambda w: w != ""))).alias("word")).withColumn("block", F.substring("word", 1, 3))
-    need = words(asked, "name_normalized").groupBy("name_normalized").agg(F.count("*").alias("need"))
-    own = catalogue.select("id", "name_normalized").distinct()
-    left = words(asked, "name_normalized").withColumnRenamed("word", "prefix")
-    right = words(own.select("id", "name_normalized"), "id")
-    # A word shorter than three letters blocks by its own length.
-    short = left.where(F.length("prefix") < 3).join(right.withColumn("block", F.explode(F.array(F.substring("word", 1, 1), F.substring("word", 1, 2)))).distinct(), "block")
-    met = left.where(F.length("prefix") >= 3).join(right, "block").unionByName(short).where(F.col("word").startswith(F.col("prefix")))
-    full = met.groupBy("name_normalized", "id").agg(F.count_distinct("prefix").alias("n"), F.count("*").alias("relevance")).join(need, "name_normalized").where(F.col("n") == F.col("need"))
+    Blocks are the first letters of words, three at most. A name meets products in its rarest block only, counted over the
+    catalogue, so that a word that most products have (a brand, a kind) pairs nothing; its other words are then looked for
+    in the products met. Distinct names are resolved once."""
+    split = F.array_distinct(F.filter(F.split("name_normalized", " "), lambda w: w != ""))
+    own = catalogue.select("id", "name_normalized").distinct().withColumn("words", split)
+    firsts = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(w))), lambda n: F.substring(w, F.lit(1), n)))))
+    blocks = own.select("id", F.col("name_normalized").alias("candidate"), "words", F.explode(firsts).alias("block"))
+    size = blocks.groupBy("block").agg(F.count("*").alias("size"))
+    asked = names.select("name_normalized").distinct().withColumn("prefixes", split)
+    rarest = asked.select("name_normalized", "prefixes", F.explode(F.transform("prefixes", lambda p: F.substring(p, 1, 3))).alias("block")).join(size, "block", "left")
+    rarest = rarest.groupBy("name_normalized", "prefixes").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "block")).alias("x")).select("name_normalized", "prefixes", "x.block")
+    hits = F.transform("prefixes", lambda p: F.size(F.filter("words", lambda w: w.startswith(p))))
+    met = rarest.join(blocks, "block").withColumn("hits", hits).where(F.forall("hits", lambda n: n > 0))
+    met = met.withColumn("relevance", F.aggregate("hits", F.lit(0).cast("long"), lambda a, n: a + n))
     top = F.row_number().over(W.partitionBy("name_normalized").orderBy(F.col("relevance").desc(), "id"))
-    return full.withColumn("place", top).where(F.col("place") <= CANDIDATES).join(own.withColumnRenamed("name_normalized", "candidate"), "id").select("name_normalized", "id", "candidate", "relevance", "place")
+    return met.withColumn("place", top).where(F.col("place") <= CANDIDATES).select("name_normalized", "id", "candidate", "relevance", "place")
 
 
 def match_static(names: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -40,7 +43,12 @@ def match_static(names: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def match_or_create(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     """names (name_id, name) with product_id: the catalogue's match, else that of the first name of the batch (by
-    name_id) that it matches, else itself as a new product (a negative id, from name_id)."""
+    name_id) that it matches, else itself as a new product (a negative id, from name_id).
+
+    Names are resolved together, not one after the other, which differs in two cases only: a name that matches both the
+    catalogue and a product that an earlier name of the batch would have made gets the catalogue's, even if the other is
+    more alike; and of a chain of new names each of which is like the next, a name joins the best match among all new
+    names of the batch, not among those that became products."""
     rows = names.select("name_id", norm_product(F.col("name")).alias("name_normalized"))
     known = match_static(rows, catalogue).select("name_normalized", F.col("id").alias("_known"))
     rest = rows.join(known, "name_normalized", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,9 +30,22 @@ def index(rows: DataFrame, *columns: str, id_col: str = "id") -> DataFrame:
     return tokenize(rows, *columns, id_col=id_col).groupBy("token", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def write_index(postings: DataFrame, path: str, parts: int = 64) -> None:
-    """Sorted by token, so that a term's or a prefix's row groups are found by their statistics."""
-    postings.repartitionByRange(parts, "token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(path)
+def sorted_postings(postings: DataFrame, parts: int | None = None) -> DataFrame:
+    """Postings dealt and sorted by token, then id: once they are written, a term's or a prefix's filter reaches the scan
+    and leaves the files and row groups whose statistics hold it. A token of many pages spans tasks."""
+    spread = postings.repartitionByRange("token", "id") if parts is None else postings.repartitionByRange(parts, "token", "id")
+    return spread.sortWithinPartitions("token", "id")
+
+
+def write_index(rows: DataFrame, path: str, *columns: str, id_col: str = "id") -> None:
+    """The index of rows below path: sorted postings, and the number of rows."""
+    sorted_postings(index(rows, *columns, id_col=id_col)).write.mode("overwrite").parquet(f"{path}/postings")
+    rows.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Postings and number of rows of a written index."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size").first()["n"]
 
 
 def atoms(postings: DataFrame, query: T.Query) -> DataFrame:

@@ -17,6 +17,8 @@ from .sources.store import Store
 
 #: Seconds that results and the dashboard are kept; queries suggested; products listed.
 KEEP_RESULTS, KEEP_DASHBOARD, SUGGESTED, LISTED = 300, 30, 5, 25
+#: Search logs that are held in memory until they are written together.
+KEPT_LOGS = 1000
 
 
 class Cache:
@@ -41,7 +43,7 @@ class Cache:
 
 class Engine:
     def __init__(self, store: Store, *, clock: Callable[[], dt.datetime] | None = None, cache: Cache | None = None):
-        self.store, self.cache = store, cache or Cache()
+        self.store, self.cache, self.unwritten = store, cache or Cache(), []
         self.clock = clock or (lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None))
 
     def now(self) -> Column:
@@ -52,11 +54,17 @@ class Engine:
         self.cache.drop("search", "domains", "dashboard")
 
     def build_index(self) -> None:
-        """Postings of all pages; searches read the last ones built."""
-        rows = self._pages()
-        self.store.replace("postings", S.index(rows, "title", "content_text"))
+        """Sorted postings of all pages and of all products, and their numbers; searches read the last ones built."""
+        products = self.store.read("products").withColumn("id", F.col("id").cast("string"))
+        for name, rows, columns in (("postings", self._pages(), ("title", "content_text")), ("product_postings", products, ("name", "name_normalized"))):
+            self.store.replace(name, S.sorted_postings(S.index(rows, *columns)))
+            self.store.replace(f"{name}_size", rows.agg(F.count("*").alias("n")))
         self.changed()
 
+    def _index(self, name: str) -> tuple[DataFrame, int]:
+        size = self.store.read(f"{name}_size").first()
+        return self.store.read(name), size["n"] if size else 0
+
     def _pages(self) -> DataFrame:
         return self.store.read("pages").withColumn("id", F.col("url_hash"))
 
@@ -75,29 +83,47 @@ class Engine:
         began, filters = time.perf_counter(), {"domain": domain, "language": language, "since": since, "until": until}
 
         def make() -> dict:
-            pages, postings = self._pages(), self.store.read("postings")
-            found = S.totals(pages, postings, q, **filters).first()
-            rows = S.search(pages, postings, self._links(), q, self.now(), page=page, sort=sort, **filters).orderBy("position").collect()
+            pages, (postings, n) = self._pages(), self._index("postings")
+            found = S.totals(pages, postings, q, n_docs=n, **filters).first()
+            rows = self.results(q, page=page, sort=sort, **filters).orderBy("position").collect()
             return {"results": [r.asDict() for r in rows], "total": found["total"], "page": page, "last_page": found["last_page"], "pager": S.pager(page, found["last_page"]), "products": [r.asDict(True) for r in self.search_products(q).collect()]}
 
         out = self.cache.get("search", (q, page, sort, filters), KEEP_RESULTS, make)
         self.log_search(q, out["total"], int((time.perf_counter() - began) * 1000), ip, user_agent)
         return out
 
+    def results(self, q: str, *, page: int = 1, sort: str = "relevance", **filters) -> DataFrame:
+        """The rows of a page of results."""
+        postings, n = self._index("postings")
+        return S.search(self._pages(), postings, self._links(), q, self.now(), page=page, sort=sort, n_docs=n, **filters)
+
     def log_search(self, q: str, results: int, ms: int, ip: str | None, user_agent: str | None) -> None:
-        row = self.store.spark.createDataFrame([(q, results, ms, ip, user_agent)], "query string, results_count long, response_time_ms long, ip string, user_agent string")
-        self.store.add("search_logs", row.withColumn("searched_at", self.now()))
+        """Keeps the row in memory; KEPT_LOGS rows, or whoever reads the logs here, write a batch. A driver that dies
+        loses the rows that it holds."""
+        self.unwritten.append((q, results, ms, ip, user_agent, self.clock()))
+        if len(self.unwritten) >= KEPT_LOGS:
+            self.flush()
+
+    def flush(self) -> None:
+        """Writes the search logs that are held in memory, as one batch."""
+        if self.unwritten:
+            rows, self.unwritten = self.unwritten, []
+            self.store.add("search_logs", self.store.spark.createDataFrame(rows, "query string, results_count long, response_time_ms long, ip string, user_agent string, searched_at timestamp_ntz"))
+
+    def _search_logs(self) -> DataFrame:
+        self.flush()
+        return self.store.read("search_logs")
 
     def suggest(self, prefix: str) -> DataFrame:
         if not prefix or len(prefix) > 500:
             raise ValueError("a prefix has 1 to 500 characters")
-        return S.suggest(self.store.read("search_logs"), prefix, SUGGESTED)
+        return S.suggest(self._search_logs(), prefix, SUGGESTED)
 
     def search_products(self, q: str, sort: str = "price_asc") -> DataFrame:
         S.validate(q)
-        rows = self.store.read("products")
+        postings, n = self._index("product_postings")
         prices = self.store.read("prices").withColumn("domain_id", F.col("domain"))
-        return S.search_products(rows, S.index(rows, "name", "name_normalized"), prices, q, sort=sort)
+        return S.search_products(self.store.read("products"), postings.withColumn("id", F.col("id").cast("long")), prices, q, n_docs=n, sort=sort)
 
     def prices(self, product_id: int) -> DataFrame:
         return S.prices_of(self.store.read("prices").withColumn("domain_id", F.col("domain")), None, product_id)
@@ -115,19 +141,24 @@ class Engine:
     # ------------------------------------------------------------------ administration
 
     def dashboard(self) -> dict:
-        """Counts, activity a day, popular queries and products a domain; kept for half a minute."""
+        """Counts, activity a day, popular queries and products a domain, the success rate; kept for half a minute."""
 
         def make() -> dict:
-            s = self.store
+            s, searches = self.store, self._search_logs()
             logs = s.read("crawl_logs").withColumn("page_id", F.col("page_hash"))
-            counts = A.dashboard(s.read("pages"), s.read("domains"), s.read("queue"), logs, s.read("search_logs"), self.now()).first().asDict()
+            counts = A.dashboard(s.read("pages"), s.read("domains"), s.read("queue"), logs, searches, self.now()).first().asDict()
             days = lambda rows, at: [r.asDict() for r in A.per_day(rows, at, self.now()).orderBy("day").collect()]
-            return counts | {"pages_per_day": days(logs.where("page_id is not null"), "crawled_at"), "searches_per_day": days(s.read("search_logs"), "searched_at"), "popular": [r.asDict() for r in A.popular(s.read("search_logs"), self.now()).collect()], "success_rate": A.success_rate(s.read("pages")).first()[0]}
+            return counts | {"pages_per_day": days(logs.where("page_id is not null"), "crawled_at"), "searches_per_day": days(searches, "searched_at"), "popular": [r.asDict() for r in A.popular(searches, self.now()).collect()], "success_rate": A.success_rate(s.read("pages")).first()[0], "products_per_domain": [r.asDict() for r in self.products_per_domain().limit(FR.MOST_DOMAINS).collect()]}
 
         return self.cache.get("dashboard", None, KEEP_DASHBOARD, make)
 
+    def products_per_domain(self) -> DataFrame:
+        """Domains with the number of distinct products that they sell, the most first."""
+        prices = self.store.read("prices").withColumn("domain_id", F.col("domain"))
+        return A.products_per_domain(prices, self.store.read("domains").withColumn("id", F.col("name"))).orderBy(F.col("products").desc(), "name")
+
     def recent_searches(self) -> DataFrame:
-        return A.recent(self.store.read("search_logs").withColumn("id", F.sha2(F.concat_ws("|", "query", "ip", "user_agent"), 256)))
+        return A.recent(self._search_logs().withColumn("id", F.sha2(F.concat_ws("|", "query", "ip", "user_agent"), 256)))
 
     def list_products(self, page: int = 1) -> DataFrame:
         """Products by number of prices, 25 a page."""

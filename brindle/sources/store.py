@@ -6,6 +6,10 @@ writer that dies leaves a batch without a marker, which nobody reads. One writer
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +30,34 @@ SCHEMAS = {
     "prices": "product_id long, url_hash string, domain string, price long, currency string, availability string, product_url string, extracted_at timestamp_ntz",
     "price_history": "product_id long, url_hash string, price long, recorded_at timestamp_ntz",
     "postings": "token string, id string, tf long, positions array<int>",
+    "postings_size": "n long",
+    "product_postings": "token string, id string, tf long, positions array<int>",
+    "product_postings_size": "n long",
 }
 #: Tables without a key are logs: every row stays.
 KEYS = {"domains": ["name"], "queue": ["url_hash"], "raw_pages": ["url_hash"], "pages": ["url_hash"], "links": ["source_hash", "target_hash"], "products": ["id"], "prices": ["product_id", "url_hash"]}
 ADDS, REPLACES = "_ADDS", "_REPLACES"
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share. Where the setting is missing (local
+    tests), a temporary folder of this machine becomes the setting; on a cluster that raises ValueError."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = Path(tempfile.mkdtemp(prefix="brindle-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table; empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)) if fs.exists(at) else ()
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

@@ -82,6 +82,7 @@ def test_search(crawled):
     assert [d["name"] for d in engine.domains()] == ["a.example", "torob.com"]
     assert engine.prices(store.read("products").first()["id"]).count() == 1
     board = engine.dashboard()
+    assert board["products_per_domain"] == [{"name": "torob.com", "products": 1}]
     assert board["pages"] == 3 and board["searches_today"] >= 2 and board["success_rate"] == 0.3333
     assert engine.list_products().first()["prices_count"] == 1 and engine.recent_searches().count() >= 2
     for bad in ({"q": ""}, {"q": "x", "sort": "price"}, {"q": "x", "since": "yesterday"}, {"q": "x", "page": 0}):

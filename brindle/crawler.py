@@ -97,7 +97,11 @@ class Crawler:
 
     def fetch(self, batch: int = BATCH, worker: str = "fetcher") -> int:
         """Pipeline 1: claims rows, drops those that may not be fetched, fetches, and keeps raw pages. How many were claimed."""
-        held = self.claim(batch, worker).withColumn("name", U.bare_host(F.col("url")))
+        return self.fetch_held(self.claim(batch, worker))
+
+    def fetch_held(self, rows: DataFrame) -> int:
+        """Pipeline 1 for queue rows that are claimed already."""
+        held = rows.withColumn("name", U.bare_host(F.col("url")))
         n = held.count()
         if not n:
             return 0
@@ -194,8 +198,8 @@ class Crawler:
         return done
 
     def start(self, *, batch: int = BATCH, seconds: float = 300, idle: float = 5, stop: Callable[[], bool] = lambda: False) -> int:
-        """Works for so long, or until told to stop; waits while nothing is claimable. A scheduler restarts it; the
-        cluster manager's retries stand for supervised worker processes, and a larger batch for more workers."""
+        """Works for so long, or until told to stop; waits while nothing is claimable. See jobs for supervision and the
+        schedule; a larger batch stands for more workers."""
         end, done = time.monotonic() + seconds, 0
         while time.monotonic() < end and not stop():
             n = self.work(batch)

@@ -1,12 +1,8 @@
-"""Registered queries over the driver's tables, each with the SQL it is held against (None: rows only)."""
+"""Registered queries over the driver's tables; those of the crawler and the engine are in service."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -21,28 +17,29 @@ from ..operators import products as PR
 from ..operators import search as S
 from ..sources import fetch
 from ..sources import tables as X
+from ..sources.store import scratch, stamp
 from . import sql as Q
+from .registry import ORACLES, QUERIES, Query, register
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
+# ------------------------------------------------------------------ search
 
-def register(sql: str | None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
+#: Folders of indexes that were built, by session, tables and their files.
+_BUILT: dict[tuple, str] = {}
 
-    return add
 
+def _index(spark, d) -> tuple[DataFrame, int]:
+    """The stored index of the pages: built when it is first asked for, and again when the documents' files have changed."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, f"{d}/documents.parquet"))
+    if key not in _BUILT or not stamp(spark, f"{_BUILT[key]}/size"):
+        path = scratch(spark, "index")
+        S.write_index(X.web_pages(spark, d), path, "title", "content_text")
+        _BUILT[key] = path
+    return S.read_index(spark, _BUILT[key])
 
-# ------------------------------------------------------------------ search
 
 def _search(spark, d, query, **options) -> DataFrame:
-    pages = X.web_pages(spark, d)
-    return S.search(pages, S.index(pages, "title", "content_text"), X.links(spark, d), query, X.now(), **options)
+    postings, n = _index(spark, d)
+    return S.search(X.web_pages(spark, d), postings, X.links(spark, d), query, X.now(), n_docs=n, **options)
 
 
 @register(Q.q(*Q.matched(["th", "on"]), *Q.ranked(["th", "on"]), Q.results(["th", "on"], "position <= 10")))
@@ -72,8 +69,8 @@ def search_sort_date(spark, d):
 @register(Q.q(*Q.matched(["th"]), "SELECT count(*) AS total, CAST(greatest(1, ceil(least(count(*), 200) / 10)) AS BIGINT) AS last_page FROM cand"))
 def search_total_pages(spark, d):
     """pg_slice: total and last page"""
-    pages = X.web_pages(spark, d)
-    return S.totals(pages, S.index(pages, "title", "content_text"), "th")
+    postings, n = _index(spark, d)
+    return S.totals(X.web_pages(spark, d), postings, "th", n_docs=n)
 
 
 @register(Q.q(Q.PAGES, Q.TOKENS, "SELECT token, id, count(*) AS tf, min(pos) AS first_pos FROM toks GROUP BY token, id"))
@@ -85,18 +82,17 @@ def postings(spark, d):
 @register(Q.q(*Q.matched(["th"], [["in", "the"]]), "SELECT id, relevance FROM hit"))
 def search_match(spark, d):
     """fts_and, fts_phrase, fts_score over all pages"""
-    pages = X.web_pages(spark, d)
-    return S.match(S.index(pages, "title", "content_text"), T.parse_query('"in the" th'), pages.count())
+    postings, n = _index(spark, d)
+    return S.match(postings, T.parse_query('"in the" th'), n)
 
 
-@register(None)
+@register(Q.q(Q.PAGES, Q.TOKENS, "len AS (SELECT id, count(*) AS n FROM toks GROUP BY id)", "atoms AS (SELECT 0 AS atom, id, count(*) AS tf FROM toks WHERE starts_with(token, 'th') GROUP BY id UNION ALL SELECT 1, id, count(*) FROM toks WHERE starts_with(token, 'on') GROUP BY id)", "df AS (SELECT atom, count(*) AS df FROM atoms GROUP BY atom)", "SELECT id, round(sum(ln(1 + ((SELECT count(*) FROM web) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM len)))), 6) AS relevance FROM atoms JOIN df USING (atom) JOIN len USING (id) GROUP BY id HAVING count(*) = 2"))
 def search_bm25(spark, d):
     """fts_score's alternative"""
-    pages = X.web_pages(spark, d)
-    index = S.index(pages, "title", "content_text")
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("n"))
+    postings, n = _index(spark, d)
+    lengths = postings.groupBy("id").agg(F.sum("tf").alias("n"))
     mean = lengths.agg(F.avg("n")).first()[0] or 1.0
-    return S.match(index, T.parse_query("th on"), pages.count(), bm25=(1.2, 0.75, lengths, mean))
+    return S.match(postings, T.parse_query("th on"), n, bm25=(1.2, 0.75, lengths, mean))
 
 
 @register(Q.q(Q.PAGES, f"SELECT id, {Q.snippet(['the', 'de'])} AS snippet FROM web"))
@@ -262,23 +258,23 @@ def _hosts() -> str:
     return f"lower(regexp_replace(regexp_replace(regexp_extract(nu, {Q.PART}, 2), '^.*@', ''), ':\\d*$', ''))"
 
 
-@register(Q.q(Q.URLS, f"n AS (SELECT *, {Q.normalized('url')} AS nu FROM urls)", f"ok AS (SELECT nu, sha256(nu) AS url_hash, {_hosts()} AS host, CAST(id % 8 AS INT) AS depth FROM n WHERE {Q.crawlable('nu')} AND NOT ({Q.paged('nu')} OR {Q.calendar('nu')}))", "p AS (SELECT *, greatest(0, 5 - depth) + CASE WHEN strlen(nu) < 60 THEN 2 WHEN strlen(nu) < 120 THEN 1 ELSE 0 END + CASE WHEN contains(regexp_extract(nu, '^[a-z]+://[^/]*([^?]*)', 1), '/p/') THEN 10 ELSE 0 END AS priority FROM ok)", "one AS (SELECT url_hash, max(struct_pack(priority := priority, depth := depth, url := nu, host := host)) AS x FROM p GROUP BY url_hash)", f"SELECT x.url, url_hash, x.host, x.depth, CAST(x.priority AS INT) AS priority FROM one WHERE url_hash NOT IN (SELECT sha256({Q.normalized('url')}) FROM pages WHERE page_id % 3 = 0)"))
+@register(Q.q(Q.URLS, f"n AS (SELECT *, {Q.normalized('url')} AS nu FROM urls)", f"ok AS (SELECT nu, sha256(nu) AS url_hash, {_hosts()} AS host, CAST(id % 8 AS INT) AS depth FROM n WHERE {Q.crawlable('nu')} AND NOT ({Q.paged('nu')} OR {Q.calendar('nu')}))", "p AS (SELECT *, greatest(0, 5 - depth) + CASE WHEN strlen(nu) < 60 THEN 2 WHEN strlen(nu) < 120 THEN 1 ELSE 0 END + CASE WHEN contains(regexp_extract(nu, '^[a-z]+://[^/]*([^?]*)', 1), '/p/') THEN 10 ELSE 0 END AS priority FROM ok)", "one AS (SELECT url_hash, max(struct_pack(priority := priority, depth := depth, url := nu, host := host)) AS x FROM p GROUP BY url_hash)", f"SELECT x.url, url_hash, x.host, x.depth, CAST(x.priority AS INT) AS priority FROM one WHERE url_hash NOT IN (SELECT sha256({Q.normalized('url')}) FROM pages WHERE page_id % 3 = 0) QUALIFY row_number() OVER (PARTITION BY x.host ORDER BY x.priority DESC, url_hash) <= 12"))
 def enqueue(spark, d):
-    """st_enqueue, join_exists_page, set_insert_ignore, dml_insert_ignore, agg_domain_cap"""
+    """st_enqueue, join_exists_page, set_insert_ignore, dml_insert_ignore, agg_domain_cap (12 a domain, which the data reach)"""
     urls = _urls(spark, d).select("url", (F.col("id") % 8).alias("depth"), F.lit(0).alias("priority"))
     pages = X.raw(spark, d, "pages").where("page_id % 3 = 0").select(U.url_hash(F.col("url")).alias("url_hash"))
     empty = pages.limit(0).select("url_hash", F.lit("").alias("host"))
-    return FR.enqueue(urls, pages, empty)
+    return FR.enqueue(urls, pages, empty, most_urls=12)
 
 
-@register(Q.q("e AS (SELECT doc_id AS page_id, k AS pos, 'h' || ((doc_id * 7 + k * 13) % 300) || '.example.net' AS name FROM documents, (SELECT unnest(range(8)) AS k) WHERE doc_id % 4 = 0)", "n AS (SELECT page_id, name, min(pos) AS pos FROM e WHERE name NOT IN (SELECT 'h' || doc_id || '.example.net' FROM documents WHERE doc_id < 40) GROUP BY ALL)", "f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos, name) <= 5)", "SELECT DISTINCT name, 'https://' || name AS base_url, 0 AS priority FROM f"))
+@register(Q.q("e AS (SELECT doc_id AS page_id, k AS pos, 'h' || ((doc_id * 7 + k * 13) % 300) || '.example.net' AS name FROM documents, (SELECT unnest(range(8)) AS k))", "n AS (SELECT page_id, name, min(pos) AS pos FROM e WHERE name NOT IN (SELECT 'h' || doc_id || '.example.net' FROM documents WHERE doc_id < 40) GROUP BY ALL)", "f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos, name) <= 5)", "one AS (SELECT name, min(struct_pack(page_id := page_id, pos := pos)) AS x FROM f GROUP BY name)", "SELECT name, 'https://' || name AS base_url, 0 AS priority FROM one ORDER BY x, name LIMIT 150 - 40"))
 def discover_cap(spark, d):
-    """st_discover, join_exists_domain"""
+    """st_discover, join_exists_domain; room for 150 domains, of which 40 are known"""
     docs = X.raw(spark, d, "documents")
     name = F.concat(F.lit("h"), ((F.col("doc_id") * 7 + F.col("pos") * 13) % 300).cast("string"), F.lit(".example.net"))
-    links = docs.where("doc_id % 4 = 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pos")).select(F.col("doc_id").alias("page_id"), "pos", F.concat(F.lit("https://"), name, F.lit("/x")).alias("target_url"), F.lit(True).alias("is_external"))
+    links = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pos")).select(F.col("doc_id").alias("page_id"), "pos", F.concat(F.lit("https://"), name, F.lit("/x")).alias("target_url"), F.lit(True).alias("is_external"))
     known = docs.where("doc_id < 40").select(F.concat(F.lit("h"), F.col("doc_id").cast("string"), F.lit(".example.net")).alias("name"))
-    return FR.discover(links, known)
+    return FR.discover(links, known, most=150)
 
 
 @register(Q.q(Q.PAGES, "due AS (SELECT DISTINCT sha256(url) AS url_hash, url FROM web WHERE has_product AND crawled_at < TIMESTAMP '2024-02-05' - INTERVAL 24 HOUR)", "qu AS (SELECT sha256(url) AS url_hash, url, CASE WHEN id % 2 = 0 THEN 'done' ELSE 'failed' END AS status, 1 AS priority, CAST(id % 4 AS INT) AS attempts FROM web WHERE id % 2 = 0)", "SELECT url_hash, coalesce(qu.url, due.url) AS url, CASE WHEN due.url IS NOT NULL THEN 'pending' ELSE status END AS status, CASE WHEN due.url IS NOT NULL THEN 15 ELSE priority END AS priority, coalesce(attempts, 0) AS attempts FROM qu FULL JOIN due USING (url_hash)"))
@@ -318,11 +314,11 @@ def should_crawl(spark, d):
     return _urls(spark, d).select("id", U.should_crawl(F.col("url")).alias("ok"))
 
 
-@register(Q.q(Q.URLS, f"SELECT id, lower(regexp_replace(regexp_replace(regexp_extract(url, {Q.PART}, 2), '^.*@', ''), ':\\d*$', '')) AS host, regexp_extract(url, {Q.PART}, 1) || '://' || regexp_extract(url, {Q.PART}, 2) || rtrim(regexp_extract(url, {Q.PART}, 3), '/') AS display, contains(regexp_extract(url, {Q.PART}, 3), '/p/') AS product, ends_with(lower(regexp_extract(url, {Q.PART}, 2)), '.ir') AS iran FROM urls"))
+@register(Q.q(Q.URLS, f"SELECT id, lower(regexp_replace(regexp_replace(regexp_extract(url, {Q.PART}, 2), '^.*@', ''), ':\\d*$', '')) AS host, regexp_extract(url, {Q.PART}, 1) || '://' || regexp_extract(url, {Q.PART}, 2) || rtrim(regexp_extract(url, {Q.PART}, 3), '/') AS display, contains(regexp_extract(url, {Q.PART}, 3), '/p/') AS product FROM urls"))
 def url_parts(spark, d):
-    """fn_host, fn_display_url, fn_product_path, fn_nonproduct_path, fn_is_ecommerce, fn_iran_filter"""
+    """fn_host, fn_display_url, fn_product_path"""
     u = F.col("url")
-    return _urls(spark, d).select("id", U.host(u).alias("host"), U.display_url(u).alias("display"), U.product_path(u).alias("product"), U.passes_country(u, True).alias("iran"))
+    return _urls(spark, d).select("id", U.host(u).alias("host"), U.display_url(u).alias("display"), U.product_path(u).alias("product"))
 
 
 # ------------------------------------------------------------------ HTML
@@ -374,13 +370,6 @@ def backlinks(spark, d):
     return S.backlinks(X.links(spark, d))
 
 
-@register(None)
-def html_parse(spark, d):
-    """fn_html_parse, fn_html_meta, fn_html_text, fn_jsonld, fn_og_price, fn_microdata, fn_selectors: the Arrow parser"""
-    parsed = I.parse_raw(X.raw(spark, d, "pages"))
-    return parsed.select("url", "url_hash", "title", "meta_description", "content_text", "language", "word_count", F.size("links").alias("n_links"), F.size("prices").alias("n_prices"), "error")
-
-
 # ------------------------------------------------------------------ ingest
 
 GATED = ["raw AS (SELECT 'd' || doc_id AS url_hash, CASE WHEN doc_id % 50 = 0 THEN 'Page Not Found' ELSE substr(text, 1, 40) END AS title, text AS content_text, sha256(text) AS content_hash FROM documents)", "g AS (SELECT *, CASE WHEN length(trim(content_text, ' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11))) < 100 THEN 'content too short' WHEN regexp_matches(lower(coalesce(title, '') || ' ' || substr(content_text, 1, 500)), 'page not found|not found|404 error|page does not exist|this page doesn''t exist|content not found') THEN 'soft 404 page' END AS reason FROM raw)", "f AS (SELECT content_hash, min(url_hash) AS first FROM g WHERE reason IS NULL GROUP BY content_hash)", "gate AS (SELECT url_hash, g.content_hash, coalesce(reason, CASE WHEN url_hash <> first THEN 'duplicate content' END) AS reason FROM g LEFT JOIN f USING (content_hash))"]
@@ -455,10 +444,10 @@ def word_count(spark, d):
     return X.raw(spark, d, "documents").select("doc_id", (F.length(t) - F.length(F.replace(T.norm_digits(t), F.lit("0")))).cast("long").alias("zeros"), T.word_count(t).alias("words"), T.direction(t).alias("dir"), T.truncate(t, 30).alias("short"))
 
 
-@register("SELECT doc_id, translate(replace(substr(text, 1, 200) || ' كي٣۴ة' || chr(8204), chr(8204), ' '), 'يكةۀ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', 'یکهه01234567890123456789') AS norm FROM documents")
+@register("SELECT doc_id, translate(replace(text || ' كي٣۴ة' || chr(8204), chr(8204), ' '), 'يكةۀ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', 'یکهه01234567890123456789') AS norm FROM documents")
 def norm_persian(spark, d):
     """fn_norm_persian"""
-    return X.raw(spark, d, "documents").select("doc_id", T.norm_persian(F.concat(F.substring("text", 1, 200), F.lit(" كي٣۴ة" + T.ZWNJ))).alias("norm"))
+    return X.raw(spark, d, "documents").select("doc_id", T.norm_persian(F.concat(F.col("text"), F.lit(" كي٣۴ة" + T.ZWNJ))).alias("norm"))
 
 
 # ------------------------------------------------------------------ products
@@ -469,14 +458,6 @@ def product_normalize(spark, d):
     return X.products(spark, d).select("id", "name_normalized")
 
 
-@register(Q.q(Q.PRODUCTS, "w AS (SELECT DISTINCT name_normalized AS n, list_distinct(string_split(name_normalized, ' ')) AS t FROM prods)", "SELECT a.n AS a, b.n AS b, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) AS overlap FROM w a JOIN w b ON string_split(a.n, ' ')[1] = string_split(b.n, ' ')[1]"))
-def token_overlap(spark, d):
-    """fn_token_overlap, set_unique, set_intersect"""
-    names = X.products(spark, d).select(F.col("name_normalized").alias("n")).distinct().withColumn("first", F.substring_index("n", " ", 1))
-    a, b = names.select(F.col("n").alias("a"), "first"), names.select(F.col("n").alias("b"), "first")
-    return a.join(b, "first").select("a", "b", F.round(T.token_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
-
-
 ER = ["cat AS (SELECT min(id) AS id, name_normalized FROM prods GROUP BY 2)", "ask AS (SELECT DISTINCT string_split(name_normalized, ' ')[1] AS q FROM prods UNION SELECT name_normalized FROM prods)", "cw AS (SELECT id, name_normalized, unnest(list_distinct(string_split(name_normalized, ' '))) AS word FROM cat)", "aw AS (SELECT q, unnest(list_distinct(string_split(q, ' '))) AS p FROM ask)", "hit AS (SELECT q, id, name_normalized AS candidate, count(*) AS relevance FROM aw JOIN cw ON starts_with(word, p) GROUP BY ALL HAVING count(DISTINCT p) = len(list_distinct(string_split(q, ' '))))", "top AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY q ORDER BY relevance DESC, id) <= 20)", "sim AS (SELECT *, len(list_intersect(list_distinct(string_split(q, ' ')), list_distinct(string_split(candidate, ' ')))) / least(len(list_distinct(string_split(q, ' '))), len(list_distinct(string_split(candidate, ' ')))) AS s FROM top)"]
 
 
@@ -499,11 +480,11 @@ def er_match_static(spark, d):
     return PR.match_static(*_er(spark, d))
 
 
-@register(None)
-def er_incremental(spark, d):
-    """er_incremental: the first half of the products is the catalogue"""
-    rows = X.products(spark, d)
-    return PR.match_or_create(rows.where("id % 2 = 1").select(F.col("id").alias("name_id"), "name"), rows.where("id % 2 = 0").groupBy("name_normalized").agg(F.min("id").alias("id")))
+@register(Q.q(Q.PRODUCTS, *ER, "SELECT q AS a, candidate AS b, round(s, 6) AS overlap FROM sim"))
+def token_overlap(spark, d):
+    """fn_token_overlap, set_unique, set_intersect: names and their candidates"""
+    met = PR.candidates(*_er(spark, d))
+    return met.select(F.col("name_normalized").alias("a"), F.col("candidate").alias("b"), F.round(T.token_overlap(F.col("name_normalized"), F.col("candidate")), 6).alias("overlap"))
 
 
 @register("SELECT p_partkey AS id, translate(format('{:,}', CAST(round(p_retailprice * 100) AS BIGINT)), '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' تومان' AS toman, CAST(round(p_retailprice * 100) AS BIGINT) * CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 1 END AS rials FROM part")
@@ -637,32 +618,13 @@ def stream_ingest(spark, d):
     """st_process_pipe, st_fetch_pipe, st_dead_letter: raw pages through a stream, one pass"""
     from ..streaming import pipelines
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="brindle-")).as_uri()
-    import uuid
-
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     X.raw(spark, d, "pages").select("page_id", "url", "html").repartition(4).write.parquet(f"{root}/raw")
     pipelines.ingest_stream(spark, f"{root}/raw", f"{root}/pages", f"{root}/checkpoint", files=2)
     return pipelines.latest_pages(spark, f"{root}/pages").select("url", "url_hash", "title", "language", "word_count", "reason")
 
 
-@register(None)
-def crawl_round(spark, d):
-    """st_fused_pipe, st_run_n, dml_claim, st_prepare, snk_log, snk_page, st_price: all pages queued, one batch crawled from
-    stored pages; the queue afterwards"""
-    import datetime as dt
-    import uuid
-
-    from ..crawler import Crawler
-    from ..sources.store import Store
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="brindle-")).as_uri()
-    pages = X.raw(spark, d, "pages").select("url", "html")
-    store = Store(spark, f"{root.rstrip('/')}/crawl-{uuid.uuid4().hex}")
-    crawler = Crawler(store, pages=pages, clock=lambda: dt.datetime(2024, 2, 5))
-    crawler.add_all(pages.select("url"))
-    crawler.work(50)
-    return store.read("queue").select("url_hash", "url", "host", "depth", "priority", "status", "attempts")
+from . import service  # noqa: E402, F401  (registers its queries)
 
 
 def queries() -> dict[str, Query]:

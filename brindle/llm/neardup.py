@@ -25,9 +25,10 @@ SAMPLES = BANDS * ROWS
 #: The document-frequency sketch: 2^SKETCH_BITS counters in blocks of 2^BLOCK_BITS, whatever the corpus.
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: IDF is kept in so many steps, and lies between 1 and 1 + DAMP: copies raise the frequency of their own shingles, so
-#: that an undamped IDF would make the members of a large group look less alike than those of a small one.
-STEPS, DAMP = 16, 0.25
-#: Logarithms of term frequencies below this come from a table, the others' are computed.
+#: that an undamped IDF makes the members of a large group look less alike than those of a small one (see README for
+#: figures). A shingle's weight in a text is its IDF times 1 + the logarithm of its frequency there.
+STEPS, DAMP = 16, 0.1
+#: Logarithms of the weights of term frequencies below this come from a table, the others' are computed.
 TF_TABLE = 1024
 #: Text ids that are broadcast at most (8 bytes each) to fetch the texts of candidate pairs.
 MOST_BROADCAST = 4_000_000
@@ -191,15 +192,23 @@ def steps_of(table: np.ndarray, docs: int) -> np.ndarray:
     return np.rint(np.clip(rare, 0, 1) * (STEPS - 1)).astype(np.uint8)
 
 
-#: Weights by step, and logarithms of steps and term frequencies; weights enter sampling and verification by these only.
+def tf_weight(tf: np.ndarray) -> np.ndarray:
+    return 1 + np.log(np.maximum(tf, 1))
+
+
+#: Weights by step, and logarithms of weights of steps and term frequencies, for sampling.
 _IDF = 1 + DAMP * np.arange(STEPS) / (STEPS - 1)
-_LOG_IDF, _LOG_TF = np.log(_IDF).astype(np.float32), np.log(np.maximum(np.arange(TF_TABLE), 1)).astype(np.float32)
+_LOG_IDF, _LOG_TF = np.log(_IDF).astype(np.float32), np.log(tf_weight(np.arange(TF_TABLE))).astype(np.float32)
 
 
 def _steps(s: Shingles, steps: np.ndarray) -> np.ndarray:
     return steps[(s.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
 
+def weights(s: Shingles, steps: np.ndarray) -> np.ndarray:
+    return _IDF[_steps(s, steps)] * tf_weight(s.tf)
+
+
 # ------------------------------------------------------------------ samples and bands
 
 def _keys(draw: np.ndarray, log_w: np.ndarray) -> np.ndarray:
@@ -233,7 +242,7 @@ def samples(s: Shingles, steps: np.ndarray) -> np.ndarray:
             many = np.flatnonzero(s.tf[lo:hi] > 1)
             tf = s.tf[lo:hi][many]
             log_tf = _LOG_TF[np.minimum(tf, TF_TABLE - 1)]
-            log_tf[tf >= TF_TABLE] = np.log(tf[tf >= TF_TABLE])
+            log_tf[tf >= TF_TABLE] = np.log(tf_weight(tf[tf >= TF_TABLE]))
             log_w = _LOG_IDF[step[many]] + log_tf
             has = np.flatnonzero(np.diff(s.starts[a : b + 1]) > 0)
             starts = s.starts[a : b + 1][has] - lo
@@ -277,7 +286,7 @@ def similarities(a: Shingles, b: Shingles, steps: np.ndarray) -> np.ndarray:
     """Weighted (TF-IDF) Jaccard similarity of the i-th text of a and of b."""
     texts = len(a.starts) - 1
     h, of = np.concatenate([a.hash, b.hash]), np.concatenate([a.of, b.of])
-    w = np.concatenate([_IDF[_steps(a, steps)] * a.tf, _IDF[_steps(b, steps)] * b.tf])
+    w = np.concatenate([weights(a, steps), weights(b, steps)])
     order = np.lexsort((h, of))
     h, of, w = h[order], of[order], w[order]
     pair = np.flatnonzero((h[1:] == h[:-1]) & (of[1:] == of[:-1]))
@@ -328,7 +337,7 @@ def _across(steps: Broadcast, threshold: float):
         band, cross = table["band"][0].as_py(), table["p"][0].as_py() != table["q"][0].as_py()
         bands = pa.concat_arrays(table["bands"].chunks).flatten().to_numpy().reshape(len(node), BANDS)
         s = shingles(*_bytes(pa.RecordBatch.from_arrays([pa.concat_arrays(table["text"].chunks)], ["text"]), "text"))
-        w = _IDF[_steps(s, steps.value)] * s.tf
+        w = weights(s, steps.value)
         total, count = np.add.reduceat(w, s.starts[:-1]), np.diff(s.starts)
         order = np.argsort(total, kind="stable")
         sizes = total[order]
@@ -393,8 +402,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_class (rows in the class).
 
     Texts are near duplicates if the weighted Jaccard similarity of their TF-IDF shingles of five words (the sum of the
-    lesser weights over that of the greater ones) is `threshold` or more, so that a text isn't one of the same text
-    written twice; classes are the connected components of that relation and of equality.
+    lesser weights over that of the greater ones) is `threshold` or more. Frequencies enter whole, by 1 + their logarithm,
+    so that a passage which one text repeats often parts it little from the other, while a text isn't a near duplicate of
+    itself written twice; classes are the connected components of that relation and of equality.
 
     1. A sketch of document frequencies from all documents (see idf_steps) gives each shingle its weight.
     2. 126 consistent weighted samples of each text make 21 band hashes of 6. Exact copies collapse by text hash first.

@@ -71,12 +71,13 @@ def fetch(urls: DataFrame, *, agent: str, concurrency: int = 5, delay_ms: int =
     return urls.select("host", "url").repartition(partitions, "host").mapInPandas(run, RESULT)
 
 
-def replay(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """The fetcher's result from stored pages (url, html): a URL that isn't stored is a 404."""
-    own = pages.select(F.col("url").alias("_url"), "html")
-    met = urls.select("url").join(own, F.col("url") == F.col("_url"), "left")
+def replay(urls: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
+    """The fetcher's result from stored pages (url, html), one row for each of urls: what isn't stored is a 404. Requests
+    and stored pages meet by the key, which comes first in the result; of several pages with one key the least html counts."""
+    own = pages.groupBy(F.col(key).alias("_key")).agg(F.min("html").alias("html"))
+    met = urls.select(*dict.fromkeys((key, "url"))).join(own, F.col(key) == F.col("_key"), "left")
     reason = gate(F.lit("text/html"), F.octet_length("html"))
-    return met.select("url", F.when(F.col("html").isNull(), 404).otherwise(200).alias("status"), F.when(reason.isNull(), F.col("html")).alias("body"), F.lit(0).cast("long").alias("response_time_ms"), F.lit("text/html").alias("content_type"), F.lit("{}").alias("headers"), F.lit(None).cast("string").alias("error"), F.when(F.col("html").isNotNull(), reason).alias("skipped_reason"))
+    return met.select(*dict.fromkeys((key, "url")), F.when(F.col("html").isNull(), 404).otherwise(200).alias("status"), F.when(reason.isNull(), F.col("html")).alias("body"), F.lit(0).cast("long").alias("response_time_ms"), F.lit("text/html").alias("content_type"), F.lit("{}").alias("headers"), F.lit(None).cast("string").alias("error"), F.when(F.col("html").isNotNull(), reason).alias("skipped_reason"))
 
 
 def over_quota(requests: DataFrame, *, key: str, at: str, per_minute: int) -> DataFrame:

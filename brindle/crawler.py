@@ -32,12 +32,13 @@ AGENT, MOST_ATTEMPTS, BATCH = "searchenginebot", 3, 10
 
 
 class Crawler:
-    def __init__(self, store: Store, *, agent: str = AGENT, get: Callable = urllib.request.urlopen, clock: Callable[[], dt.datetime] | None = None, delay_ms: int = FR.DELAY_MS, partitions: int = 15, changed: Callable[[], None] = lambda: None, pages: DataFrame | None = None):
+    def __init__(self, store: Store, *, agent: str = AGENT, get: Callable = urllib.request.urlopen, clock: Callable[[], dt.datetime] | None = None, delay_ms: int = FR.DELAY_MS, partitions: int = 15, changed: Callable[[], None] = lambda: None, pages: DataFrame | None = None, most_urls: int | None = FR.MOST_URLS):
         """get opens a request, unless stored pages (url, html) are to be replayed instead; clock gives the instant that counts as now (UTC); changed is called after pages or domains
-        change, so that result caches can be dropped."""
+        change, so that result caches can be dropped; most_urls is the number of URLs that a domain may have in the queue,
+        None where a bounded crawl (stored pages) is to reach all of them."""
         self.store, self.spark, self.agent, self.get = store, store.spark, agent, get
         self.clock = clock or (lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None))
-        self.delay_ms, self.partitions, self.changed, self.pages = delay_ms, partitions, changed, pages
+        self.delay_ms, self.partitions, self.changed, self.pages, self.most_urls = delay_ms, partitions, changed, pages, most_urls
         reachable(self.spark)
 
     def now(self) -> Column:
@@ -48,7 +49,7 @@ class Crawler:
     def enqueue(self, urls: DataFrame) -> DataFrame:
         """urls (url, depth, priority) that pass the gates become queue rows; returns those."""
         queue = self.store.read("queue").select("url_hash", "host")
-        new = FR.enqueue(urls, self.store.read("pages").select("url_hash"), queue)
+        new = FR.enqueue(urls, self.store.read("pages").select("url_hash"), queue, most_urls=self.most_urls)
         return self.store.add("queue", new.withColumns({"status": F.lit("pending"), "attempts": F.lit(0), "max_attempts": F.lit(MOST_ATTEMPTS), "queued_at": self.now()}))
 
     def add(self, urls: list[str], priority: int = FR.ADDED) -> int:

@@ -57,10 +57,10 @@ def add_domains(domains: DataFrame, urls: DataFrame) -> DataFrame:
     return domains.unionByName(one.join(domains.select("name"), "name", "left_anti").select(*domains.columns))
 
 
-def enqueue(urls: DataFrame, pages: DataFrame, queue: DataFrame, *, iran_only: bool = False, most_urls: int = MOST_URLS) -> DataFrame:
+def enqueue(urls: DataFrame, pages: DataFrame, queue: DataFrame, *, iran_only: bool = False, most_urls: int | None = MOST_URLS) -> DataFrame:
     """New queue rows from urls (url, depth, priority): url, url_hash, host, depth, priority. Gates in order: worth
     crawling and no trap, country, shops' pages that are no products, known pages, known URLs, and `most_urls` a domain,
-    the best by priority, then hash. Anti-joins on the hash. The cap is applied to SALTS parts of each domain first, so
+    the best by priority, then hash; None: all of them. Anti-joins on the hash. The cap is applied to SALTS parts of each domain first, so
     that a domain with a third of all rows is sorted by many tasks, and then to the SALTS x most_urls rows that may be left."""
     urls = U.once(urls, "_u", U.normalize(F.col("url")))
     u = F.col("_u")
@@ -68,6 +68,8 @@ def enqueue(urls: DataFrame, pages: DataFrame, queue: DataFrame, *, iran_only: b
     new = urls.where(ok).select(u.alias("url"), F.sha2(u, 256).alias("url_hash"), U.host(u).alias("host"), F.col("depth").cast("int").alias("depth"), (F.col("priority") + U.priority_boost(u, F.col("depth"))).cast("int").alias("priority"))
     new = new.groupBy("url_hash").agg(F.max(F.struct("priority", "depth", "url", "host")).alias("x")).select("url_hash", "x.*")
     new = new.join(pages.select("url_hash"), "url_hash", "left_anti").join(queue.select("url_hash"), "url_hash", "left_anti")
+    if most_urls is None:
+        return new.select("url", "url_hash", "host", "depth", "priority")
     held = queue.groupBy("host").agg(F.count("*").alias("_held"))
     place = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.col("priority").desc(), "url_hash"))
     new = new.withColumn("_salt", F.pmod(F.xxhash64("url_hash"), F.lit(SALTS))).withColumn("_n", place("host", "_salt")).where(F.col("_n") <= most_urls)

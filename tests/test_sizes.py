@@ -5,7 +5,7 @@ import pytest
 from conftest import plain
 from pyspark.sql import functions as F
 
-from brindle.operators import products
+from brindle.operators import frontier
 from brindle.plans import queries as plans
 from brindle.sources import fetch
 
@@ -40,3 +40,17 @@ def test_replay_gives_one_row_for_each_request(spark):
     pages = spark.createDataFrame([("a", "y"), ("a", "x"), (None, "z")], "url string, html string")
     got = sorted(((r["url"], r["status"], r["body"]) for r in fetch.replay(urls, pages).collect()), key=str)
     assert got == [("a", 200, "x"), ("a", 200, "x"), ("b", 404, None), (None, 404, None)]
+
+
+def test_a_round_queues_every_page_of_a_host(spark, held):
+    """More URLs of one host than the frontier's cap, which is an option of the crawler."""
+    i = "CAST(id AS STRING)"
+    html = f"concat('<html><head><title>t', {i}, '</title></head><body><p>', repeat(concat('word', {i}, ' '), 20), '</p><a href=\"/l', {i}, '\">l</a></body></html>')"
+    rows = spark.range(frontier.MOST_URLS + 50).selectExpr("id AS page_id", f"concat('https://hot.example/', {i}) AS url", f"{html} AS html")
+    assert held("crawl_round", pages=rows) > frontier.MOST_URLS + 50
+
+
+def test_the_cap_of_a_domain_is_an_option(spark):
+    none = spark.createDataFrame([], "url_hash string, host string")
+    urls = spark.createDataFrame([(f"https://a.example/{i}", 0, 0) for i in range(9)], "url string, depth int, priority int")
+    assert [frontier.enqueue(urls, none.select("url_hash"), none, most_urls=n).count() for n in (4, None)] == [4, 9]

@@ -10,25 +10,32 @@ from ..functions.text import norm_product, token_overlap
 
 #: Candidates a name, and the overlap that a match must exceed.
 CANDIDATES, LIKE = 20, 0.8
+#: Characters of a word's start that blocks tell apart; it decides on work only.
+BLOCK = 32
 
 
 def candidates(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     """names (name_id, name_normalized) with up to 20 products (id, name_normalized) each that have every word of the
     name as a prefix of one of theirs; relevance is the number of matching words of the product.
 
-    Blocks are the first letters of words, three at most. A name meets products in its rarest block only, counted over the
-    catalogue, so that a word that most products have (a brand, a kind) pairs nothing; its other words are then looked for
-    in the products met. Distinct names are resolved once."""
+    Blocks are the starts of words that names ask for, whole words mostly. A name meets products in its rarest block only,
+    counted over the catalogue's words, so that a word that most products have (a brand, a kind), or letters that most
+    words begin with, pair nothing; its other words are then looked for in the products met. Distinct names are resolved
+    once."""
     split = F.array_distinct(F.filter(F.split("name_normalized", " "), lambda w: w != ""))
     own = catalogue.select("id", "name_normalized").distinct().withColumn("words", split)
-    firsts = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(w))), lambda n: F.substring(w, F.lit(1), n)))))
-    blocks = own.select("id", F.col("name_normalized").alias("candidate"), "words", F.explode(firsts).alias("block"))
-    size = blocks.groupBy("block").agg(F.count("*").alias("size"))
+    worded = own.select("id", F.col("name_normalized").alias("candidate"), "words", F.explode("words").alias("word"))
     asked = names.select("name_normalized").distinct().withColumn("prefixes", split)
-    rarest = asked.select("name_normalized", "prefixes", F.explode(F.transform("prefixes", lambda p: F.substring(p, 1, 3))).alias("block")).join(size, "block", "left")
+    starts = asked.select("name_normalized", "prefixes", F.explode(F.transform("prefixes", lambda p: F.substring(p, 1, BLOCK))).alias("block"))
+    firsts = F.transform(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.length("word"))), lambda n: F.substring("word", F.lit(1), n))
+    blocks = worded.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", F.explode(firsts).alias("block")).join(starts.select("block").distinct(), "block", "left_semi")
+    size = blocks.groupBy("block").agg(F.sum("n").alias("size"))
+    rarest = starts.join(size, "block", "left")
     rarest = rarest.groupBy("name_normalized", "prefixes").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "block")).alias("x")).select("name_normalized", "prefixes", "x.block")
     hits = F.transform("prefixes", lambda p: F.size(F.filter("words", lambda w: w.startswith(p))))
-    met = rarest.join(blocks, "block").withColumn("hits", hits).where(F.forall("hits", lambda n: n > 0))
+    met = rarest.join(blocks.select("block", "word"), "block").join(worded, "word")
+    met = met.where(F.col("word") == F.get(F.filter("words", lambda w: w.startswith(F.col("block"))), F.lit(0)))  # a product once
+    met = met.withColumn("hits", hits).where(F.forall("hits", lambda n: n > 0))
     met = met.withColumn("relevance", F.aggregate("hits", F.lit(0).cast("long"), lambda a, n: a + n))
     top = F.row_number().over(W.partitionBy("name_normalized").orderBy(F.col("relevance").desc(), "id"))
     return met.withColumn("place", top).where(F.col("place") <= CANDIDATES).select("name_normalized", "id", "candidate", "relevance", "place")

@@ -5,7 +5,7 @@ import pytest
 from conftest import plain
 from pyspark.sql import functions as F
 
-from brindle.operators import frontier
+from brindle.operators import frontier, products
 from brindle.plans import queries as plans
 from brindle.sources import fetch
 
@@ -30,6 +30,24 @@ def held(spark, tmp_path):
     return check
 
 
+def most_joined(plan) -> int:
+    """The most rows that a join of an executed plan made."""
+    found, open_ = 0, [plan.executedPlan()]
+    while open_:
+        node = open_.pop()
+        kind = node.nodeName()
+        if "Join" in kind and node.metrics().contains("numOutputRows"):
+            found = max(found, node.metrics().get("numOutputRows").get().value())
+        if kind == "AdaptiveSparkPlan":
+            open_.append(node.executedPlan())
+        elif "QueryStage" in kind:
+            open_.append(node.plan())
+        else:
+            children = node.children()
+            open_ += [children.apply(k) for k in range(children.size())]
+    return found
+
+
 def test_pages_that_share_a_url_are_requests_of_their_own(spark, held):
     rows = [(i, f"https://a.example/{i % 3}", f"<p>{i}</p>") for i in range(12)] + [(12, None, "x"), (13, None, "y"), (14, "https://a.example/0", None)]
     assert held("fetch_replay", pages=spark.createDataFrame(rows, "page_id long, url string, html string")) == 15
@@ -54,3 +72,19 @@ def test_the_cap_of_a_domain_is_an_option(spark):
     none = spark.createDataFrame([], "url_hash string, host string")
     urls = spark.createDataFrame([(f"https://a.example/{i}", 0, 0) for i in range(9)], "url string, depth int, priority int")
     assert [frontier.enqueue(urls, none.select("url_hash"), none, most_urls=n).count() for n in (4, None)] == [4, 9]
+
+
+def test_a_shop_with_more_pages_than_the_cap(spark, held):
+    rows = spark.range(frontier.MOST_URLS + 50).selectExpr("id AS s_suppkey")
+    assert held("crawl_prices", supplier=rows) > 3 * (frontier.MOST_URLS + 50)
+
+
+def test_names_that_share_their_first_letters_pair_nothing(spark):
+    """item7 meets item7, item70 and so on, not every item; a product two of whose words begin alike is met once."""
+    rows = [(i, f"item{i} itemised kind{i}") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "id long, name_normalized string")
+    got = products.candidates(frame, frame)
+    plan = got._jdf.queryExecution()
+    want = {(a, j): sum(w.startswith(p) for p in a.split() for w in b.split()) for i, a in rows for j, b in [r for r in rows if str(r[0]).startswith(str(i))][:20]}
+    assert {(r["name_normalized"], r["id"]): r["relevance"] for r in got.collect()} == want
+    assert most_joined(plan) < 40_000

@@ -53,12 +53,14 @@ class Engine:
         """To be called after pages or domains change."""
         self.cache.drop("search", "domains", "dashboard")
 
-    def build_index(self) -> None:
-        """Sorted postings of all pages and of all products, and their numbers; searches read the last ones built."""
+    def build_index(self, *names: str) -> None:
+        """Sorted postings of all pages (postings) and of all products (product_postings), and their numbers: of those named,
+        or both; searches read the last ones built."""
         products = self.store.read("products").withColumn("id", F.col("id").cast("string"))
         for name, rows, columns in (("postings", self._pages(), ("title", "content_text")), ("product_postings", products, ("name", "name_normalized"))):
-            self.store.replace(name, S.sorted_postings(S.index(rows, *columns)))
-            self.store.replace(f"{name}_size", rows.agg(F.count("*").alias("n")))
+            if not names or name in names:
+                self.store.replace(name, S.sorted_postings(S.index(rows, *columns)))
+                self.store.replace(f"{name}_size", rows.agg(F.count("*").alias("n")))
         self.changed()
 
     def _index(self, name: str) -> tuple[DataFrame, int]:

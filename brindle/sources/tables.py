@@ -78,4 +78,6 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def product_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ingest import keep_latest
 
-    return keep_latest(price_history(spark, sf_dir), ["product_id", "domain_id"], ["recorded_at", "price", "k1", "k2", "k3"]).select("product_id", "domain_id", "price", "recorded_at")
+    # Later keys of the order decide between rows that are equal here, so they needn't be shuffled.
+    seen = price_history(spark, sf_dir).select("product_id", "domain_id", "price", "recorded_at")
+    return keep_latest(seen, ["product_id", "domain_id"], ["recorded_at", "price"]).select(*seen.columns)

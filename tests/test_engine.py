@@ -151,3 +151,35 @@ def test_query_columns(spark):
 
 def test_pager():
     assert S.pager(1, 1) == [1] and S.pager(5, 20) == [3, 4, 5, 6, 7] and S.pager(20, 20) == [18, 19, 20]
+
+
+def test_later_batches_lie_over_earlier_ones(spark):
+    store = Store(spark, spark.conf.get("spark.checkpoint.dir") + "/store-" + uuid.uuid4().hex)
+    frame = lambda *rows: spark.createDataFrame(rows, "name string, status string, max_depth int")
+    rows = lambda: {(r["name"], r["status"], r["max_depth"]) for r in store.read("domains").collect()}
+    store.add("domains", frame(("a", "x", 1), ("b", "x", 1), ("c", "y", 1), ("d", None, 1)))
+    store.add("domains", frame(("a", "y", 2), ("b", "z", 2)))
+    store.delete_where("domains", "status", ["x", "z"])
+    assert rows() == {("a", "y", 2), ("c", "y", 1), ("d", None, 1)}  # b's row of the first batch doesn't come back
+    store.add("domains", frame(("b", "x", 3)))
+    store.delete("domains", frame(("c", "", 0)))
+    store.add("domains", frame(("d", "x", 4)))
+    assert rows() == {("a", "y", 2), ("b", "x", 3), ("d", "x", 4)} and len(store.batches("domains")) == 6
+    store.compact("domains")
+    assert rows() == {("a", "y", 2), ("b", "x", 3), ("d", "x", 4)} and len(store.batches("domains")) == 1
+    store.delete_where("domains", "name", ["a"])
+    store.delete_where("domains", "name", ["b"])
+    assert rows() == {("d", "x", 4)}
+    store.add("crawl_logs", spark.createDataFrame([("u", "a"), ("v", "b"), ("v", "b"), ("w", None)], "url string, domain string"))
+    store.delete_where("crawl_logs", "domain", ["a"])
+    store.add("crawl_logs", spark.createDataFrame([("u", "a")], "url string, domain string"))
+    assert sorted(r["url"] for r in store.read("crawl_logs").collect()) == ["u", "v", "v", "w"]
+
+
+def test_a_table_of_one_batch_is_read_without_a_shuffle(spark):
+    store = Store(spark, spark.conf.get("spark.checkpoint.dir") + "/store-" + uuid.uuid4().hex)
+    store.add("prices", spark.range(9).selectExpr("id AS product_id", "'h' AS url_hash", "concat('src', id % 3) AS domain", "id AS price"))
+    plan = lambda: store.read("prices").select("domain")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan()
+    store.delete_where("prices", "domain", ["src0"])
+    assert "Exchange" not in plan() and store.read("prices").count() == 6

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from brindle.operators import frontier, products
 from brindle.plans import queries as plans
+from brindle.plans import service
 from brindle.sources import fetch
+from brindle.sources.store import SCHEMAS
 
 
 @pytest.fixture
@@ -88,3 +90,12 @@ def test_names_that_share_their_first_letters_pair_nothing(spark):
     want = {(a, j): sum(w.startswith(p) for p in a.split() for w in b.split()) for i, a in rows for j, b in [r for r in rows if str(r[0]).startswith(str(i))][:20]}
     assert {(r["name_normalized"], r["id"]): r["relevance"] for r in got.collect()} == want
     assert most_joined(plan) < 40_000
+
+
+def test_a_call_of_the_api_fills_only_the_tables_that_it_reads(spark, sf, same, monkeypatch):
+    monkeypatch.setattr(service, "_STORES", {})
+    assert same(plans.queries()["api_products"](spark, sf), plans.oracle_sql()["api_products"])
+    (engine,) = service._STORES.values()
+    assert {t for t in SCHEMAS if engine.store.batches(t)} == {"products", "prices", "product_postings", "product_postings_size"}
+    assert same(plans.queries()["api_prices"](spark, sf), plans.oracle_sql()["api_prices"]) >= 0
+    assert engine.store.batches("prices") == [1]

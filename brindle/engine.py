@@ -189,15 +189,11 @@ class Engine:
     def delete_domain(self, name: str) -> None:
         """The domain, its pages with their links and prices, its raw pages, its queue rows and its logs go."""
         s = self.store
-        bare = lambda c: F.regexp_replace(c, r"^www\.", "") == name
-        pages = s.read("pages").where(F.col("domain") == name).select("url_hash")
-        s.delete("links", s.read("links").join(pages.select(F.col("url_hash").alias("source_hash")), "source_hash", "left_semi"))
-        s.delete("prices", s.read("prices").where(F.col("domain") == name))
-        s.delete("raw_pages", s.read("raw_pages").where(bare("host")))
-        s.delete("queue", s.read("queue").where(bare("host")))
-        s.replace("crawl_logs", s.read("crawl_logs").where(~F.col("domain").eqNullSafe(name)))
-        s.delete("pages", pages)
-        s.delete("domains", s.read("domains").where(F.col("name") == name))
+        hosts = [f"www.{name}"] if name.startswith("www.") else [name, f"www.{name}"]  # those whose bare host is the name
+        pages = s.read("pages").where(F.col("domain") == name).select(F.col("url_hash").alias("source_hash"))
+        s.delete("links", s.read("links").join(pages, "source_hash", "left_semi"))
+        for table, column, values in (("prices", "domain", [name]), ("raw_pages", "host", hosts), ("queue", "host", hosts), ("crawl_logs", "domain", [name]), ("pages", "domain", [name]), ("domains", "name", [name])):
+            s.delete_where(table, column, values)
         self.changed()
 
 

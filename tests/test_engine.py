@@ -183,3 +183,18 @@ def test_a_table_of_one_batch_is_read_without_a_shuffle(spark):
     assert "Exchange" not in plan()
     store.delete_where("prices", "domain", ["src0"])
     assert "Exchange" not in plan() and store.read("prices").count() == 6
+
+
+def test_a_deleted_domain_writes_no_table_again(spark):
+    store = Store(spark, spark.conf.get("spark.checkpoint.dir") + "/store-" + uuid.uuid4().hex)
+    store.add("domains", spark.createDataFrame([("a.example",), ("www.b.example",)], "name string"))
+    store.add("queue", spark.createDataFrame([(str(k), h) for k, h in enumerate(("a.example", "www.a.example", "x.a.example", "www.b.example", "www.www.b.example"))], "url_hash string, host string"))
+    store.add("crawl_logs", spark.createDataFrame([("u", "a.example")] * 500 + [("v", None), ("w", "b.example")], "url string, domain string"))
+    store.add("prices", spark.range(2000).selectExpr("id AS product_id", "sha2(string(id), 256) AS url_hash", "'a.example' AS domain"))
+    engine, size = Engine(store, clock=lambda: NOW), store.megabytes()
+    engine.delete_domain("a.example")
+    assert store.read("prices").count() == 0 and sorted(r["url"] for r in store.read("crawl_logs").collect()) == ["v", "w"]
+    assert {r["host"] for r in store.read("queue").collect()} == {"x.a.example", "www.b.example", "www.www.b.example"}
+    assert store.batches("crawl_logs") == [1, 2] and store.megabytes() - size < 0.02
+    engine.delete_domain("www.b.example")
+    assert {r["host"] for r in store.read("queue").collect()} == {"x.a.example", "www.b.example"}

@@ -161,6 +161,8 @@ class Crawler:
 
     def _follow(self, links: DataFrame, sources: DataFrame) -> None:
         """Internal links go to the queue while the domain's depth allows; external ones may be new domains."""
+        if links.isEmpty():
+            return
         domains = self.store.read("domains")
         deep = sources.join(domains.select("name", "max_depth"), "name", "left")
         inner = links.where("not is_external").join(F.broadcast(deep), "source_hash").where(F.col("depth") < F.coalesce("max_depth", F.lit(FR.DEPTH)))
@@ -173,7 +175,8 @@ class Crawler:
     def _prices(self, good: DataFrame) -> DataFrame:
         """Prices of shop pages: the product that the name matches, or a new one; every sighting goes to the history."""
         found = I.product_prices(good).join(good.select("url", "url_hash", "title"), "url").withColumn("name", F.coalesce("product_name", "title")).where("name is not null")
-        found = found.withColumn("name_id", F.pmod(F.xxhash64("url_hash"), F.lit(2**62)))
+        # Written before it is matched: the plans of the match use it many times over.
+        found = self.store.add("offers", found.withColumn("name_id", F.pmod(F.xxhash64("url_hash"), F.lit(2**62))))
         if found.isEmpty():
             return self.store.none("prices")
         catalogue = self.store.read("products").groupBy("name_normalized").agg(F.min("id").alias("id"))
@@ -264,5 +267,5 @@ class Crawler:
         s.add("queue", full)
         for name in ("queue", "raw_pages", "pages", "links", "domains", "products", "prices"):
             s.compact(name)
-        for name in ("fetches", "parsed", "sightings"):
+        for name in ("fetches", "parsed", "offers", "sightings"):
             s.replace(name, s.none(name))

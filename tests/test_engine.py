@@ -12,6 +12,7 @@ from brindle.engine import Cache, Engine
 from brindle.functions import robots as R
 from brindle.functions import text as T
 from brindle.operators import search as S
+from brindle.sources import store as store_module
 from brindle.sources.store import Store
 
 NOW = dt.datetime(2024, 1, 5, 12)
@@ -153,7 +154,9 @@ def test_pager():
     assert S.pager(1, 1) == [1] and S.pager(5, 20) == [3, 4, 5, 6, 7] and S.pager(20, 20) == [18, 19, 20]
 
 
-def test_later_batches_lie_over_earlier_ones(spark):
+@pytest.mark.parametrize("large", [0, store_module.LARGE])
+def test_later_batches_lie_over_earlier_ones(spark, monkeypatch, large):
+    monkeypatch.setattr(store_module, "LARGE", large)
     store = Store(spark, spark.conf.get("spark.checkpoint.dir") + "/store-" + uuid.uuid4().hex)
     frame = lambda *rows: spark.createDataFrame(rows, "name string, status string, max_depth int")
     rows = lambda: {(r["name"], r["status"], r["max_depth"]) for r in store.read("domains").collect()}
